@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .packing import pack
+from .quality import quality_verdicts
+from .secrets import secret_scan
+from .sharding import hilbert_shards
 from .simhash_golay import near_duplicate_classes
 from .token_counts import token_counts
 
@@ -22,6 +26,28 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = hilbert_shards(_table(spark, sf_dir, "documents"))
+    return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), train="crc32(cast(doc_id as string)) % 4 != 2")
+    scores = toxicity.toxicity_scores(docs, model)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
+def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -36,6 +62,10 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hilbert_shards": op1_hilbert_shards,
+    "op3_quality_forest": op3_quality_forest,
+    "op4_toxicity_neighbours": op4_toxicity_neighbours,
+    "op6_secret_links": op6_secret_links,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op10_simhash_golay": op10_simhash_golay,
