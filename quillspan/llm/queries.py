@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
+from .decontamination import overlaps
+from .fuzzy_lines import line_report
 from .packing import pack
 from .quality import quality_verdicts
 from .secrets import secret_scan
@@ -43,6 +45,10 @@ def op4_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -56,6 +62,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "matched", "compared", "at")
+
+
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_duplicate_classes(_table(spark, sf_dir, "documents"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -65,9 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op3_quality_forest": op3_quality_forest,
     "op4_toxicity_neighbours": op4_toxicity_neighbours,
+    "op5_fuzzy_lines": op5_fuzzy_lines,
     "op6_secret_links": op6_secret_links,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_spaced_seeds": op9_spaced_seeds,
     "op10_simhash_golay": op10_simhash_golay,
 }
 
