@@ -11,6 +11,7 @@ from . import toxicity
 from .decontamination import overlaps
 from .fuzzy_lines import line_report
 from .packing import pack
+from .pii import find_personal_data
 from .quality import quality_verdicts
 from .secrets import secret_scan
 from .sharding import hilbert_shards
@@ -33,6 +34,11 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op3_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -74,6 +80,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op2_pii_tagger": op2_pii_tagger,
     "op3_quality_forest": op3_quality_forest,
     "op4_toxicity_neighbours": op4_toxicity_neighbours,
     "op5_fuzzy_lines": op5_fuzzy_lines,
