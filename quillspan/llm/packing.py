@@ -13,7 +13,6 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,41 +27,85 @@ PIECES = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens b
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer whose pre-tokens never hold white space: words are encoded once and remembered.
-
-    The library encodes each space-delimited word; the ids of a text are those of its words in order. ``most`` bounds the
-    memory of words; when it is full it starts anew. A tokenizer that doesn't lower-case and drop white space encodes whole
-    texts.
+    """Ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer that lower-cases and drops white space.
+
+    No pre-token holds white space, so the ids of a text are those of its space-delimited words in order; the library
+    encodes each word once. A closing mark after a letter is a pre-token of its own, so a word with one is made of two known
+    parts. Latin-1 texts are lower-cased first, as the tokenizer would (a text with "<|" isn't: its special strings are
+    told by case). New words of letters only are encoded in one call and told apart by the mark that ends a word's last token.
+    ``most`` bounds the memory of words: when the newer half is full it becomes the older half, whose words come back when
+    they are met. Other tokenizers encode whole texts.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.most, self.seen = most, {"": ()}
-        steps = (json.loads(self.tok.to_str())["normalizer"] or {}).get("normalizers", [])
-        split = (json.loads(self.tok.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        own = json.loads(self.tok.to_str())
+        steps, split = (own["normalizer"] or {}).get("normalizers", []), (own["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self.by_word = any(x["type"] == "Lowercase" for x in steps) and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed"
-
-    def __call__(self, text: str) -> np.ndarray:
+        self.most = most
+        self.seen: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        suffix = own["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded in one call."""
+        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.nonzero(self.ends[ids])[0] + 1) * 4
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return self.library(words)
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.seen) > self.most // 2:
+            self.seen, self.older = {"": b""}, self.seen
+        seen, older = self.seen, self.older
+        back = {w for w in words if w in older}
+        for w in back:
+            seen[w] = older[w]
+        words = words - back
+        marked = {w for w in words if w[-1] in ".,;:!?" and w[-2:-1].isalpha()}
+        parts = (words - marked).union((w[:-1] for w in marked), (w[-1] for w in marked)).difference(seen)
+        letters = [w for w in parts if w.isalpha()]
+        if letters:
+            seen.update(zip(letters, self.joined(letters), strict=True))
+        if len(letters) < len(parts):
+            rest = [w for w in parts if not w.isalpha()]
+            seen.update(zip(rest, self.library(rest), strict=True))
+        for w in marked:
+            seen[w] = seen[w[:-1]] + seen[w[-1]]
+
+    def __call__(self, text: str) -> bytes:
         if not self.by_word:
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+            return self.library([text])[0]
+        if "<|" not in text and is_latin1(text):
+            text = text.lower()
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if text.isascii():
-            words = " ".join(words).lower().split(" ")
-        seen = self.seen
-        new = [w for w in set(words) if w not in seen]
-        if new:
-            if len(seen) + len(new) > self.most:
-                seen.clear()
-                seen[""] = ()
-                new = [w for w in set(words) if w]
-            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                seen[w] = tuple(e.ids)
-        return np.fromiter(chain.from_iterable(map(seen.__getitem__, words)), np.uint32)
+        own = set(words)
+        if new := own.difference(self.seen):
+            self.learn(new)
+            if missing := own.difference(self.seen):  # the newer half began anew
+                self.learn(missing)
+        return b"".join(map(self.seen.__getitem__, words))
+
+
+def is_latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def _pieces(path: str, capacity: int, unit: int, end_id: int):
@@ -72,11 +115,13 @@ def _pieces(path: str, capacity: int, unit: int, end_id: int):
         for rows in batches:
             out: list[list] = [[] for _ in range(8)]
             for k, t in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                ids = np.append(encode(t.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(ids), capacity):
-                    piece = ids[start : start + capacity]
-                    kind = -(-len(piece) // unit)
-                    for col, x in zip(out, (k, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), kind, pid, nth[kind]), strict=True):
+                ids = encode(t.as_py() or "") + end_id.to_bytes(4, "little")
+                n = len(ids) // 4
+                for start in range(0, n, capacity):
+                    piece = ids[4 * start : 4 * (start + capacity)]
+                    length = len(piece) // 4
+                    kind = -(-length // unit)
+                    for col, x in zip(out, (k, start, length, zlib.crc32(piece), n, kind, pid, nth[kind]), strict=True):
                         col.append(x)
                     nth[kind] += 1
             types = (pa.int64(),) * 5 + (pa.int32(), pa.int32(), pa.int64())
