@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ KAPPA_NONE = "không tính được (hai người dùng chung đúng một đáp
 TIER_BOUNDS = (512, 1024, 2048, 4096)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a variable that holds ``value``: it is computed once, where a lambda that names it would compute it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode composition; Spark has no function for it. Text that is composed already passes through."""
@@ -174,5 +180,5 @@ def clock_ratio(now: Column, most: Column) -> Column:
 
 def lexical_overlap(response: Column, context: Column) -> Column:
     """Share of the response's words (case folded, repeats counted) that occur in the context; 0 without words."""
-    r, c = words(F.lower(response)), F.array_distinct(words(F.lower(context)))
-    return F.when(F.size(r) == 0, F.lit(0.0)).otherwise(F.size(F.filter(r, lambda w: F.array_contains(c, w))) / F.size(r))
+    share = lambda r, c: F.when(F.size(r) == 0, F.lit(0.0)).otherwise(F.size(F.filter(r, lambda w: F.array_contains(c, w))) / F.size(r))
+    return let(words(F.lower(response)), lambda r: let(F.array_distinct(words(F.lower(context))), lambda c: share(r, c)))

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import SPACE, is_blank, word_count
+from quillspan.functions.text import SPACE, is_blank, let, word_count
 
 CHUNK = "array<struct<text:string,char_start:bigint,char_end:bigint,index:int>>"
 
+WINDOW = "array<struct<token_start:bigint,token_end:bigint,text:string,char_start:bigint,char_end:bigint>>"
+
 
 def _starts(pieces: Column, gaps: Column) -> Column:
     """Start of each piece where gap i follows piece i."""
@@ -31,24 +33,26 @@ def _whole(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Chunks split at white space after ``.``, ``!`` or ``?``; blank pieces go; a text without any is one chunk."""
-    pieces = F.split(text, f"(?<=[.!?]){SPACE}+", -1)
-    gaps = F.regexp_extract_all(text, F.lit(f"(?<=[.!?])({SPACE}+)"), F.lit(1))
-    placed = F.zip_with(pieces, _starts(pieces, gaps), lambda p, s: F.struct(p.alias("text"), s.alias("char_start"), (s + F.length(p)).alias("char_end")))
-    kept = F.filter(placed, lambda c: ~is_blank(c["text"]))
-    return F.when(F.size(kept) == 0, _whole(text)).otherwise(_numbered(kept))
+    placed = lambda pieces, gaps: F.zip_with(pieces, _starts(pieces, gaps), lambda p, s: F.struct(p.alias("text"), s.alias("char_start"), (s + F.length(p)).alias("char_end")))
+    split, between = F.split(text, f"(?<=[.!?]){SPACE}+", -1), F.regexp_extract_all(text, F.lit(f"(?<=[.!?])({SPACE}+)"), F.lit(1))
+    spans = let(split, lambda pieces: let(between, lambda gaps: placed(pieces, gaps)))
+    kept = F.filter(spans, lambda c: ~is_blank(c["text"]))
+    return let(kept, lambda k: F.when(F.size(k) == 0, _whole(text)).otherwise(_numbered(k)))
 
 
 def merge_short(text: Column, chunks: Column, min_words: int = 5) -> Column:
     """Chunks with fewer than ``min_words`` words join the chunk before them; the first stays. Spans cover what lies between."""
-    heads = F.filter(chunks, lambda c: (c["index"] == 0) | (word_count(c["text"]) >= min_words))
-    last = F.size(chunks) - 1
 
-    def joined(c: Column, j: Column) -> Column:
-        following = F.get(heads, j + 1)["index"]
-        end = F.get(chunks, F.coalesce(following - 1, last))["char_end"]
-        return F.struct(F.substring(text, c["char_start"].cast("int") + 1, (end - c["char_start"]).cast("int")).alias("text"), c["char_start"].alias("char_start"), end.alias("char_end"))
+    def merged(chunks: Column, heads: Column) -> Column:
+        def joined(c: Column, j: Column) -> Column:
+            following = F.get(heads, j + 1)["index"]
+            end = F.get(chunks, F.coalesce(following - 1, F.size(chunks) - 1))["char_end"]
+            return F.struct(F.substring(text, c["char_start"].cast("int") + 1, (end - c["char_start"]).cast("int")).alias("text"), c["char_start"].alias("char_start"), end.alias("char_end"))
+
+        return _numbered(F.transform(heads, joined))
 
-    return _numbered(F.transform(heads, joined))
+    heads = lambda c: F.filter(c, lambda x: (x["index"] == 0) | (word_count(x["text"]) >= min_words))
+    return let(chunks, lambda c: let(heads(c), lambda h: merged(c, h)))
 
 
 def token_windows(text: Column, size: int, stride: int | None = None) -> Column:
@@ -61,18 +65,23 @@ def token_windows(text: Column, size: int, stride: int | None = None) -> Column:
         raise ValueError("stride must be from 1 to size")
     body = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
     lead = F.length(text) - F.length(F.regexp_replace(text, f"^{SPACE}+", ""))
-    tokens = F.when(F.length(body) == 0, F.array().cast("array<string>")).otherwise(F.split(body, f"{SPACE}+"))
-    gaps = F.regexp_extract_all(body, F.lit(f"({SPACE}+)"), F.lit(1))
-    n = F.size(tokens)
-    starts = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(_starts(tokens, gaps))
-    firsts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), n - 1, F.lit(stride)), lambda i: (i == 0) | (i + size - stride < n)))
-
-    def window(i: Column) -> Column:
-        end = F.least(i + size, n)
-        a, b = lead + F.get(starts, i), lead + F.get(starts, end - 1) + F.length(F.get(tokens, end - 1))
-        return F.struct(i.cast("bigint").alias("token_start"), end.cast("bigint").alias("token_end"), F.substring(text, a.cast("int") + 1, (b - a).cast("int")).alias("text"), a.cast("bigint").alias("char_start"), b.cast("bigint").alias("char_end"))
-
-    return F.transform(firsts, window)
+
+    def windows(tokens: Column, starts: Column, lead: Column) -> Column:
+        n = F.size(tokens)
+
+        def window(i: Column) -> Column:
+            end = F.least(i + size, n)
+            a, b = lead + F.get(starts, i), lead + F.get(starts, end - 1) + F.length(F.get(tokens, end - 1))
+            return F.struct(i.cast("bigint").alias("token_start"), end.cast("bigint").alias("token_end"), F.substring(text, a.cast("int") + 1, (b - a).cast("int")).alias("text"), a.cast("bigint").alias("char_start"), b.cast("bigint").alias("char_end"))
+
+        firsts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(stride)), lambda i: (i == 0) | (i + size - stride < n))
+        return F.transform(firsts, window)
+
+    def split(body: Column) -> Column:
+        tokens, gaps = F.split(body, f"{SPACE}+"), F.regexp_extract_all(body, F.lit(f"({SPACE}+)"), F.lit(1))
+        return let(tokens, lambda t: let(gaps, lambda g: let(_starts(t, g), lambda s: let(lead, lambda at: windows(t, s, at)))))
+
+    return let(body, lambda b: F.when(F.length(b) == 0, F.array().cast(WINDOW)).otherwise(split(b)))
 
 
 def drop_middle(text: Column, chunks: Column, n_drop: Column) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def normalised(shares: Column) -> Column:
-    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shares, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
+    # the total is bound once, in the closing step; inside the lambda of transform it would be summed for every element
+    return F.aggregate(shares, F.lit(0.0), lambda a, x: a + x, lambda total: F.transform(shares, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0))))
 
 
 def chunk_features(shares: Column) -> Column:

@@ -49,7 +49,9 @@ def ratios(weights: Column, context: Column, prompt: Column, response: Column, q
     self_mean = (_sum_at(weights, response) - own) / (query_index + 1)
     floor = lambda x: F.greatest(x, F.lit(EPS))
     share = lambda m: m / floor(m + self_mean)
-    per_chunk = F.transform(chunk_tokens, lambda t: _sum_at(weights, t) / F.greatest(F.size(t), F.lit(1)) / floor(context_mean + self_mean))
+    means = F.transform(chunk_tokens, lambda t: _sum_at(weights, t) / F.greatest(F.size(t), F.lit(1)))
+    # the divisor is bound once to a lambda's variable
+    per_chunk = F.aggregate(F.array(floor(context_mean + self_mean)), F.lit(0.0), lambda a, x: a + x, lambda total: F.transform(means, lambda m: m / total))
     return F.struct(context_mean.alias("context_mean"), prompt_mean.alias("prompt_mean"), self_mean.alias("self_mean"), share(context_mean).alias("lookback_context"), share(prompt_mean).alias("lookback_total"), per_chunk.alias("per_chunk"))
 
 

@@ -39,8 +39,8 @@ def corpus_totals(spark, d):
     return h.select("lang", "tier", "n_samples").unionByName(h.groupBy("tier").agg(F.sum("n_samples").alias("n_samples")).withColumn("lang", F.lit("all")))
 
 
-@query(f"""WITH t AS (SELECT doc_id, lang, n_words, {SQL_TIER('n_words')} AS tier FROM {_N}), r AS (SELECT *, row_number() OVER w - 1 AS at, count(*) OVER (PARTITION BY lang, tier) AS size FROM t WINDOW w AS (PARTITION BY lang, tier ORDER BY n_words, doc_id))
-SELECT doc_id, lang, n_words, tier FROM r WHERE size <= 8 OR list_contains(list_transform(generate_series(0, 7), lambda i: CASE WHEN i = 7 THEN size - 1 ELSE CAST(round_even(i * ((size - 1) / 7.0::DOUBLE), 0) AS BIGINT) END), at)""")
+@query(f"""WITH t AS (SELECT doc_id, lang, n_words, {SQL_TIER('n_words')} AS tier FROM {_N}), r AS (SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY lang, tier) AS size FROM t WINDOW w AS (PARTITION BY lang, tier ORDER BY n_words, doc_id))
+SELECT doc_id, lang, n_words, tier FROM r WHERE size <= 8 OR list_contains(list_transform(generate_series(0, 7), lambda i: CASE WHEN i = 7 THEN size - 1 ELSE CAST(round_even(i * ((size - 1) / 7.0::DOUBLE), 0) AS BIGINT) END), place)""")
 def tier_spread_sample(spark, d):
     rows = word_counts(spark, d).select("doc_id", "lang", "n_words").withColumn("tier", T.tier_of(F.col("n_words")))
     return tiers.spread(rows, ["lang", "tier"], ["n_words", "doc_id"], 8)

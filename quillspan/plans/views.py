@@ -54,8 +54,8 @@ def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = (F.col("vec_id") % 15).cast("int")
     kept = F.transform("embedding", lambda x, k: F.when(k <= 49 + i, F.abs(x.cast("double"))).otherwise(F.lit(0.0)))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 150).cast("bigint").alias("sample_id"), (F.floor(F.col("vec_id") / 15) % 10).cast("int").alias("layer"), F.col("label").cast("int").alias("head"), i.alias("query_index"), kept.alias("z"))
-    total = F.aggregate("z", F.lit(0.0), lambda a, x: a + x)
-    return rows.withColumn("weights", F.transform("z", lambda x: x / total)).drop("z")
+    scaled = F.aggregate("z", F.lit(0.0), lambda a, x: a + x, lambda total: F.transform("z", lambda x: x / total))
+    return rows.withColumn("weights", scaled).drop("z")
 
 
 def roles() -> F.Column:
