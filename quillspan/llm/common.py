@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row's number in a partition in the low 33 bits
+BROADCAST_ROWS = 500_000  # of (bigint, bigint) rows: 16 MB
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
@@ -94,6 +95,11 @@ def components(links: DataFrame, a: str, b: str, name: str = "links") -> DataFra
     return edges.select(u.alias("node"), v.alias("root"))
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` (staged, at most two bigint columns) marked for broadcast if its row count is within the bound; Spark chooses the join otherwise."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_or_empty(col: Column | str = "text") -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(c, F.lit(""))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import sized, staged, text_or_empty
 
 MASKS = ("11111", "1101011", "11100101", "101001011")
 BROADCAST_KEYS = 1_000_000  # rows of three bigints: 40 MB
@@ -71,8 +71,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` without an overlap, all columns kept."""
-    from .fuzzy_lines import sized
-
-    bad = staged(overlaps(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("_id"), F.col("dh").alias("_dh")).distinct(), "contaminated")
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(docs[text_col])) == F.col("_dh"))
+    bad = staged(overlaps(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("__bad_id"), F.col("dh").alias("__bad_dh")).distinct(), "contaminated")
+    same = docs[id_col].eqNullSafe(F.col("__bad_id")) & (F.xxhash64(text_or_empty(docs[text_col])) == F.col("__bad_dh"))
     return docs.join(sized(bad), same, "left_anti")

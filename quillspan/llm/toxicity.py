@@ -166,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 1000, k: int = 15, most_
     """Learns from at most ``most`` labelled rows of each class; ``train`` is an SQL condition on the labels' rows."""
     usable = labels.where(train) if train else labels
     chosen = labelled_sample(docs, usable, "toxic", most, id_col)
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_id", F.col("_label").cast("int").alias("y"), F.col(text_col).alias("text")).collect()
+    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("_id", F.col("_label").cast("int").alias("y"), "text").collect()
     rows.sort(key=lambda r: (r["_id"], r["text"] or ""))
     y = np.array([r["y"] for r in rows], np.int64)
     counts = {r["y"]: r["n"] for r in usable.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col)).agg(F.max("toxic").cast("int").alias("y")).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
