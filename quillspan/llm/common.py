@@ -76,7 +76,7 @@ def components(links: DataFrame, a: str, b: str, name: str = "links") -> DataFra
 
     Alternating large-star and small-star rounds; every round is a join and an aggregation by node and is written to
     the shared folder, so nothing is collected and chains of any length converge in a logarithmic number of rounds.
-    Nodes without a link to another node are not returned. No links give no rows.
+    Neither nodes without a link nor the roots themselves are returned. No links give no rows.
     """
     u, v = F.col("u"), F.col("v")
     edges = staged(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(u != v).distinct(), f"{name}-0")

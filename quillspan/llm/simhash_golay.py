@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import components, sized, staged
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -140,14 +140,15 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows with a null id stay (nothing tells them apart from the class's representative).
     """
     classes = near_duplicate_classes(docs, id_col, text_col, width, distance)
-    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = staged(classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near-copies")
+    kept = docs.join(sized(gone), docs[id_col] == F.col("_gone"), "left_anti")
     return first_of_each_id(kept, id_col)
 
 
 def first_of_each_id(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row of each id; the texts are shuffled only for ids that repeat. Null ids are left as they are."""
     twice = docs.groupBy(F.col(id_col).alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and _twice is not null").select("_twice")
+    twice = sized(staged(twice, "repeated-ids"))
     single = docs.join(twice, docs[id_col] == F.col("_twice"), "left_anti")
     rest = docs.join(twice, docs[id_col] == F.col("_twice"), "left_semi")
     order = Window.partitionBy(id_col).orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if kind in ("string", "bigint", "int")])
