@@ -52,7 +52,7 @@ def op4_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(_table(spark, sf_dir, "documents"))
+    return line_report(_table(spark, sf_dir, "documents"), distance=None)
 
 
 def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,6 +262,22 @@ def test_fuzzy_lines(spark, table):
     assert fuzzy_lines.dedup_lines(df.limit(0)).count() == 0 and fuzzy_lines.line_report(df).count() == len(docs)
 
 
+def test_line_search_reaches_the_edit_similarity(spark, table):
+    """Truth is the edit similarity alone: of pairs made at 0.8 or more by changed words, at least 95 % are found."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))
+    texts = []
+    for _ in range(300):
+        line = [word() for _ in range(rng.randrange(8, 60))]
+        near = list(line)
+        for at in rng.sample(range(len(line)), rng.randrange(1, max(2, len(line) // 6))):
+            near[at] = word()
+        texts += [" ".join(line), " ".join(near)]
+    want = {i + 1 for i in range(0, 600, 2) if 1 - distance(texts[i], texts[i + 1]) / max(len(texts[i]), len(texts[i + 1])) >= 0.8}
+    got = {r.id for r in fuzzy_lines.line_verdicts(table(texts), distance=None).collect()}
+    assert got <= want and len(want) > 250 and len(got) >= 0.95 * len(want)
+
+
 def test_edit_similarity(spark):
     rng = random.Random(5)
     rows = [(prose(rng, rng.randrange(1, 9)).split(), prose(rng, rng.randrange(1, 9)).split()) for _ in range(50)] + [(["a"], ["a"]), (["a", "b", "a"], ["a", "a"])]
