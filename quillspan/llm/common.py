@@ -15,7 +15,11 @@ _STAGED: list[tuple[SparkSession, str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one is set only where the session names none (tests, one machine)."""
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Where the session names none, a temporary folder is used in local mode only, whose one process is driver and executor;
+    on a cluster that is an error, since executors can't see the driver's disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -23,6 +27,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="quillspan-")
     sc.setCheckpointDir(own)
     return own
@@ -52,6 +58,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_row_key(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
@@ -76,7 +90,8 @@ def components(links: DataFrame, a: str, b: str, name: str = "links") -> DataFra
 
     Alternating large-star and small-star rounds; every round is a join and an aggregation by node and is written to
     the shared folder, so nothing is collected and chains of any length converge in a logarithmic number of rounds.
-    Neither nodes without a link nor the roots themselves are returned. No links give no rows.
+    Neither nodes without a link nor the roots themselves are returned. No links give no rows. It raises if the rounds don't
+    end, rather than return groups that aren't whole.
     """
     u, v = F.col("u"), F.col("v")
     edges = staged(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(u != v).distinct(), f"{name}-0")
@@ -92,6 +107,8 @@ def components(links: DataFrame, a: str, b: str, name: str = "links") -> DataFra
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError("the components didn't converge")
     return edges.select(u.alias("node"), v.alias("root"))
 
 

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, sized, staged
+from .common import components, fresh, sized, staged, text_or_empty
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -81,7 +81,9 @@ def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["id", "fp"])
+            # what follows the text passes through
+            rest = [batch.column(i) for i in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *rest], ["id", "fp", *batch.schema.names[2:]])
 
     return run
 
@@ -118,38 +120,58 @@ def fingerprint_links(fingerprints: DataFrame, distance: int = 3) -> DataFrame:
     return met.distinct()
 
 
+def fingerprint_classes(fps: DataFrame, distance: int) -> DataFrame:
+    """``fp`` and ``root`` (a fingerprint that stands for the class) of the distinct fingerprints in ``fps``."""
+    distinct = staged(fps.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(fingerprint_links(distinct, distance), "a", "b", "fp")
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, ``fp`` (bigint), ``component_id``.
 
     ``component_id`` is the least id in the class. Null and empty texts have fingerprint zero and link like any other. A
     null id keeps its row; a class of null ids only has a null component. Rows that repeat stay repeated. An empty table
-    gives no rows; further columns are ignored.
+    gives no rows; further columns are ignored; texts of any length are read whole.
     """
     fps = staged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(width), "id bigint, fp bigint"), "fingerprints")
-    distinct = staged(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = components(fingerprint_links(distinct, distance), "a", "b", "fp")
-    classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = fingerprint_classes(fps, distance)
+    # the least id of a fingerprint is found before anything is shuffled by class
+    least = fps.groupBy("fp").agg(F.min("id").alias("least")).join(classes, "fp")
+    least = least.select("fp", "root", "least").groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(least, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
-    """Rows of ``docs`` whose id is the least of their class, all columns kept; of repeated rows of that id one stays.
+    """One row of each class of near-duplicates, all columns kept, whatever their names.
 
-    Rows with a null id stay (nothing tells them apart from the class's representative).
+    It is the row of the least id (null ids last) and, within it, the least text hash; of rows that repeat both, the first by
+    their other columns. A class never goes without a row: an id that several texts share counts once for each text. Null and
+    empty texts are one class.
     """
-    classes = near_duplicate_classes(docs, id_col, text_col, width, distance)
-    gone = staged(classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near-copies")
-    kept = docs.join(sized(gone), docs[id_col] == F.col("_gone"), "left_anti")
-    return first_of_each_id(kept, id_col)
-
-
-def first_of_each_id(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of each id; the texts are shuffled only for ids that repeat. Null ids are left as they are."""
-    twice = docs.groupBy(F.col(id_col).alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and _twice is not null").select("_twice")
-    twice = sized(staged(twice, "repeated-ids"))
-    single = docs.join(twice, docs[id_col] == F.col("_twice"), "left_anti")
-    rest = docs.join(twice, docs[id_col] == F.col("_twice"), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if kind in ("string", "bigint", "int")])
-    return single.unionByName(rest.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth"))
+    text = F.col(text_col)
+    hashed = docs.select(F.col(id_col).alias("id"), text.alias("text"), _text_hash(text).alias("dh"))
+    fps = staged(hashed.mapInArrow(_fingerprints(width), "id bigint, fp bigint, dh bigint"), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "dh")
+    marked = fps.groupBy("fp", "id", "dh").agg(F.count(F.lit(1)).alias("n")).join(fingerprint_classes(fps, distance), "fp").select("root", "n", order.alias("me"))
+    kept = marked.groupBy("root").agg(F.min("me").alias("kept"))
+    id_, dh = fresh(docs, "gone_id"), fresh(docs, "gone_dh")
+    judged = staged(marked.join(kept, "root").select((F.col("me") == F.col("kept")).alias("stays"), "n", F.col("me.id").alias(id_), F.col("me.dh").alias(dh)), "judged")
+    same = docs[id_col].eqNullSafe(F.col(id_)) & (_text_hash(docs[text_col]) == F.col(dh))
+    left = docs.join(sized(judged.where("not stays").select(id_, dh)), same, "left_anti")
+    return first_of_repeated(left, sized(judged.where("stays and n > 1").select(id_, dh)), same)
+
+
+def _text_hash(text) -> Column:
+    return F.xxhash64(text_or_empty(text))
+
+
+def first_of_repeated(docs: DataFrame, repeated: DataFrame, same: Column) -> DataFrame:
+    """``docs`` with one row for each entry of ``repeated``; only rows that repeat are shuffled."""
+    id_, dh = repeated.columns
+    nth = fresh(docs, "nth")
+    single = docs.join(repeated, same, "left_anti")
+    order = Window.partitionBy(id_, dh).orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))])
+    first = docs.join(repeated, same).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    return single.unionByName(first.drop(nth, id_, dh))
