@@ -13,6 +13,7 @@ span are left out: base spans stay as they are.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -30,8 +31,9 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-_EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}")
 _ANCHOR = re.compile(r"[0-9@]+|[(\[]\x20?at\x20?[)\]]")
 
 
@@ -43,18 +45,44 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """Base spans; matches of a kind are leftmost and non-overlapping, failing ones are dropped without a retry."""
+def emails(text: str) -> list[tuple[int, int]]:
+    """Matches of ``EMAIL``. Each lies in one run of its characters; an @ whose right side fits ends the search for its left."""
     found, at, done = [], text.find("@"), 0
-    while at >= 0:  # a match lies in one run of these characters, so only runs that hold an @ are searched
+    while at >= 0:
         start = at
-        while start > done and text[start - 1] in _EMAIL_CHARS:
+        while start > done and text[start - 1] in _LOCAL:
             start -= 1
-        done = _EMAIL_RUN.match(text, start).end()
-        found += [("email", m.start(), m.end()) for m in EMAIL.finditer(text, start, done)]
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            found.append((start, m.end()))
+        done = m.end() if m else at + 1
         at = text.find("@", done)
+    return found
+
+
+def ips(text: str) -> list[tuple[int, int]]:
+    """Matches of ``IP`` whose parts are 255 at most: in a run of numbers joined by single dots, every four in turn.
+
+    A run of digits is read once, however long; a number that no three numbers follow begins no match.
+    """
+    found = []
+    for m in _DOTTED.finditer(text):
+        at = m.start()
+        parts = m[0].split(".")
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four):
+                found.append((at, end))
+            at = end + 1
+    return found
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """Base spans; matches of a kind are leftmost and non-overlapping, failing ones are dropped without a retry."""
+    found = [("email", s, e) for s, e in emails(text)]
     if re.search("[0-9]", text):
-        found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
+        found += [("ip", s, e) for s, e in ips(text)]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -377,9 +405,16 @@ def decode(tagger: Tagger, texts: list[str], rows: int = 512) -> list[list[tuple
 def added_spans(tagger: Tagger, texts: list[str], bases: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     out = []
     for text, base, found in zip(texts, bases, decode(tagger, texts), strict=True):
-        taken, own = sorted((s, e) for _, s, e in base), []
+        ends = sorted((e, s) for _, s, e in base)
+        most, reach = [], -1  # base spans by their ends; of two that overlap each other either may touch a found one
+        for e, s in reversed(ends):
+            reach = s if reach < 0 else min(reach, s)
+            most.append((e, reach))
+        most.reverse()
+        own = []
         for kind, s, e in found:
-            if plausible(kind, text[s:e]) and not any(a < e and s < b for a, b in taken):
+            k = bisect.bisect_right(most, (s, 1 << 62))
+            if plausible(kind, text[s:e]) and not (k < len(most) and most[k][1] < e):
                 own.append((kind, s, e))
         out.append(own)
     return out

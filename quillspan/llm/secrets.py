@@ -2,7 +2,7 @@
 
 Parts: access identifiers, secrets and endpoints. A strong part is one of the base patterns (``access`` is an identifier,
 ``assign`` and ``hex`` are secrets). Weak parts alone mean little: a named user or client identifier, a URL or host with a
-port, a long mixed string without a name. Scopes are intervals: the paragraph (text between blank lines), cut further
+port, a long mixed string without a name. Scopes are intervals: the paragraph (text between blank lines, whatever their line ends), cut further
 where two neighbouring parts are more than ``reach`` characters apart. Parts are joined with scopes by one sweep over both
 sorted lists. In a scope with an identifier and a secret the weak parts are reported if one part is strong or an endpoint
 stands beside them.
@@ -25,7 +25,11 @@ ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][d
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal: the same as runs of [0-9a-f]+ that have 32 characters
 IDENTIFIER = re.compile(r"""(?:\b(?:user(?:name|_?id)?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?)\b)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]{3,})""", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]+|\b(?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+:[0-9]{2,5}\b", re.ASCII)
+URL = re.compile(r"\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]+", re.ASCII)
+PORT = re.compile(r":[0-9]{2,5}\b", re.ASCII)
+HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+HOST_MOST = 253  # characters of a host name, by the rules of host names
+BREAK = re.compile(r"\n[^\S\n]*\n|\r[^\S\r\n]*\r")  # a blank line, whatever white space it or the line ends hold
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=.-])")
 
 
@@ -46,12 +50,27 @@ def longest_word(text: str) -> int:
     return max(map(len, text.split()), default=0)
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs, and hosts with a port. A host is looked for back from each port, so no run of text is read twice."""
+    found = [m.span() for m in URL.finditer(text)]
+    for m in PORT.finditer(text):
+        start = m.start()
+        least = max(0, start - HOST_MOST)
+        while start > least and (text[start - 1] in ".-" or text[start - 1].isascii() and text[start - 1].isalnum()):
+            start -= 1
+        while start < m.start() and text[start] in ".-":
+            start += 1
+        if HOST.fullmatch(text, start, m.start()):
+            found.append((start, m.end()))
+    return found
+
+
 def weak_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Weak parts that overlap no base span and no earlier weak part."""
     found = []
     if "=" in text or ":" in text:
         found += [("identifier", m.start(), m.end()) for m in IDENTIFIER.finditer(text)]
-        found += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+        found += [("endpoint", s, e) for s, e in endpoints(text)]
     if longest_word(text) >= 20:
         found += [("secret", m.start(), m.end()) for m in SECRET.finditer(text) if mixed(m[0])]
     out, last = [], 0
@@ -74,7 +93,7 @@ def scopes(text: str, parts: list[tuple[str, int, int]], reach: int) -> Iterator
     """The sorted parts joined with the paragraphs that hold them, cut where neighbours are over ``reach`` apart."""
     group: list[tuple[str, int, int]] = []
     for part in parts:
-        if group and (part[1] - group[-1][2] > reach or "\n\n" in text[group[-1][2] : part[1]]):
+        if group and (part[1] - group[-1][2] > reach or BREAK.search(text, group[-1][2], part[1])):
             yield group
             group = []
         group.append(part)
@@ -125,7 +144,8 @@ def _scan(reach: int):
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``linked`` (texts of the added parts).
 
-    Null texts count as empty; null ids and repeated rows stay; an empty table gives no rows. One pass without a shuffle.
+    Null texts count as empty; null ids and repeated rows stay; an empty table gives no rows; other columns are ignored. One
+    pass without a shuffle; the time of a text grows in proportion to its length.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(_scan(reach), "id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, linked array<string>")
