@@ -9,8 +9,10 @@ is packed first-fit decreasing, and the pieces, ranked within their length, take
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +28,9 @@ from .common import staged
 PIECES = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, kind int, pid int, nth bigint"
 
 
+_MARKS = re.compile(r"[\W_][.,;:!?] ")
+
+
 class WordEncoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer that lower-cases and drops white space.
 
@@ -37,7 +42,7 @@ class WordEncoder:
     they are met. Other tokenizers encode whole texts.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,18 +91,30 @@ class WordEncoder:
         for w in marked:
             seen[w] = seen[w[:-1]] + seen[w[-1]]
 
-    def __call__(self, text: str) -> bytes:
-        if not self.by_word:
-            return self.library([text])[0]
+    def words(self, text: str) -> list[str]:
         if "<|" not in text and is_latin1(text):
             text = text.lower()
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        own = set(words)
-        if new := own.difference(self.seen):
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if not _MARKS.search(text):  # every mark before a space follows a letter or digit, and is a pre-token of its own
+            for mark in ".,;:!?":
+                text = text.replace(f"{mark} ", f" {mark} ")
+        return text.split(" ")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the texts' new words are learned together."""
+        if not self.by_word:
+            return self.library(texts)
+        cut = [self.words(t) for t in texts]
+        known = self.seen.get
+        found = [list(map(known, words)) for words in cut]
+        new = {w for words, ids in zip(cut, found) if None in ids for w, x in zip(words, ids) if x is None}
+        if new:
             self.learn(new)
-            if missing := own.difference(self.seen):  # the newer half began anew
-                self.learn(missing)
-        return b"".join(map(self.seen.__getitem__, words))
+        seen = self.seen
+        return [b"".join([seen[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids) for words, ids in zip(cut, found)]
+
+    def __call__(self, text: str) -> bytes:
+        return self.encode([text])[0]
 
 
 def is_latin1(text: str) -> bool:
@@ -108,14 +125,26 @@ def is_latin1(text: str) -> bool:
     return True
 
 
+GROUP = 64  # texts whose new words are learned together
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """Kept while the Python worker lives, so that later tasks find their words known."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def _pieces(path: str, capacity: int, unit: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pid = WordEncoder(path), TaskContext.get().partitionId()
+        encode, pid, end = encoder(path).encode, TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
         nth = np.zeros(capacity // unit + 2, np.int64)
         for rows in batches:
             out: list[list] = [[] for _ in range(8)]
-            for k, t in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                ids = encode(t.as_py() or "") + end_id.to_bytes(4, "little")
+            encoded = itertools.chain.from_iterable(encode([t or "" for t in rows.column(1).slice(at, GROUP).to_pylist()]) for at in range(0, rows.num_rows, GROUP))
+            for k, ids in zip(rows.column(0).to_pylist(), encoded, strict=True):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
@@ -147,8 +176,11 @@ def best_pattern(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return value[capacity], pattern
 
 
-def solve_patterns(demand: np.ndarray, capacity: int, rounds: int = 5_000) -> list[tuple[np.ndarray, int]]:
-    """(pattern, times) that cover ``demand`` (count of each length, index 0 unused), near the fewest sequences."""
+def solve_patterns(demand: np.ndarray, capacity: int, rounds: int = 50_000) -> list[tuple[np.ndarray, int]]:
+    """(pattern, times) that cover ``demand`` (count of each length, index 0 unused), near the fewest sequences.
+
+    It raises if the simplex isn't at its optimum after ``rounds`` columns.
+    """
     types = np.nonzero(demand)[0]
     if not len(types):
         return []
@@ -175,6 +207,8 @@ def solve_patterns(demand: np.ndarray, capacity: int, rounds: int = 5_000) -> li
         inverse = inverse - np.outer(step, pivot)
         inverse[out] = pivot
         columns[:, out] = column
+    else:
+        raise RuntimeError("the simplex didn't reach its optimum")
     found, left = [], demand.astype(np.int64).copy()
     for j in np.argsort(-x):
         pattern = np.zeros(capacity + 1, np.int64)
@@ -212,7 +246,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """Pieces of all documents with their places: ``id_col``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
     ``tokenizer`` is a path every executor has. A null or empty text is the end id alone. Null ids and repeated rows keep
-    their own pieces. An empty table gives no rows. The driver sees one count for each of ``capacity / unit`` lengths.
+    their own pieces. An empty table gives no rows; other columns are ignored. The driver sees one count for each of ``capacity / unit`` lengths.
     """
     if capacity % unit:
         raise ValueError("capacity must be a multiple of unit")
