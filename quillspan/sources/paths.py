@@ -1,37 +1,37 @@
-"""Where raw corpora are: an explicit folder, then the environment, a local default and mounted folders."""
+"""Where raw corpora are, looked for lazily: a named folder, the environment, the working folder, mounted folders."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain
 from pathlib import Path
 
-# The file that marks a raw folder, the environment variable, the default and the mounts.
+# The file that marks a raw folder, the environment variable, the default and the mounts' patterns.
 MARKER = "vihallu_train.csv"
 ENV = "QUILLSPAN_DATA_DIR"
-DEFAULT = Path("data/raw")
-MOUNT = Path("/kaggle/input")
-MOUNT_DEPTHS = ("*", "*/*", "datasets/*/*", "*/*/*")
-
-
-def candidates() -> list[Path]:
-    named = os.environ.get(ENV)
-    found = [Path(named)] if named else []
-    found.append(DEFAULT)
-    if MOUNT.is_dir():
-        found.append(MOUNT)
-        for depth in MOUNT_DEPTHS:
-            found += sorted(p for p in MOUNT.glob(depth) if p.is_dir())
-    return found
+DEFAULT = "data/raw"
+MOUNTS = ("/kaggle/input", "/kaggle/input/*", "/kaggle/input/*/*", "/kaggle/input/datasets/*/*", "/kaggle/input/*/*/*")
+
+
+def matching(pattern: str) -> Iterator[Path]:
+    """What an absolute pattern matches, sorted; nothing is read before it is asked for."""
+    root = Path(Path(pattern).anchor)
+    yield from sorted(root.glob(pattern.removeprefix(str(root))))
 
 
-def find_raw_dir(explicit: str | Path | None = None) -> Path:
-    """An explicit folder is taken as it is and must exist; otherwise the first candidate that holds the marker."""
-    if explicit is not None:
-        if not Path(explicit).is_dir():
-            raise FileNotFoundError(f"no such folder: {explicit}")
-        return Path(explicit)
-    tried = candidates()
-    for p in tried:
-        if (p / MARKER).is_file():
-            return p
-    raise FileNotFoundError(f"no {MARKER} in " + ", ".join(map(str, tried)))
+def raw_folders(environment: Mapping[str, str] = os.environ, default: str = DEFAULT, mounts: Sequence[str] = MOUNTS) -> Iterator[Path]:
+    """Folders that may hold the corpora, the likeliest first."""
+    named = filter(None, (environment.get(ENV), default))
+    return chain(map(Path, named), chain.from_iterable(map(matching, mounts)))
+
+
+def find_raw_dir(explicit: str | Path | None = None, marker: str = MARKER, **where) -> Path:
+    """``explicit`` if it is a folder, whatever it holds; if none is named, the first of ``raw_folders`` with the marker."""
+    if explicit is None:
+        found = next((p for p in raw_folders(**where) if (p / marker).is_file()), None)
+    else:
+        found = Path(explicit) if Path(explicit).is_dir() else None
+    if found is None:
+        raise FileNotFoundError(f"no folder {explicit}" if explicit is not None else f"no folder with {marker}; name one by {ENV}")
+    return found

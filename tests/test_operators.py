@@ -1,6 +1,8 @@
+import json
 import math
 import random
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,10 +256,33 @@ def test_meta_profile_counts_absent_keys(spark):
 def test_run_log(spark, tmp_path):
     path = tmp_path / "deep" / "runs.jsonl"
     with pytest.raises(ValueError):
-        runlog.log_run(path, "r", {}, {}, {"ms_per_sample": 1})
+        runlog.run_record(spark, "r", {}, {}, {"ms_per_sample": 1})
     assert not path.exists() and runlog.read_runs(spark, str(path)).columns == []
     for _ in range(2):
-        runlog.log_run(path, "r", {"dataset": {"name": "vihallu"}}, {"macro_f1": 0.5}, {"ms_per_sample": 1, "peak_vram_mb": 2})
+        runlog.append_runs(runlog.run_record(spark, "r", {"dataset": {"name": "vihallu"}}, {"macro_f1": 0.5}, {"ms_per_sample": 1, "peak_vram_mb": 2}), str(path))
+    lines = [json.loads(r.value) for r in spark.read.text(str(path)).collect()]
+    assert [list(x) for x in lines] == [sorted(("timestamp", "run_name", "git_commit", "config_hash", "config", "metrics", "extra"))] * 2 and lines[0]["metrics"] == {"macro_f1": 0.5}
+    assert datetime.fromisoformat(lines[0]["timestamp"]).utcoffset().total_seconds() == 0
+
+
+def test_head_commit(tmp_path):
+    assert runlog.head_commit(tmp_path) == "unknown" or (tmp_path.parents[2] / ".git").exists()
+    (tmp_path / ".git" / "refs" / "heads").mkdir(parents=True)
+    (tmp_path / "a").mkdir()
+    (tmp_path / ".git" / "HEAD").write_text("ref: refs/heads/x\n")
+    assert runlog.head_commit(tmp_path / "a") == "unknown"
+    (tmp_path / ".git" / "packed-refs").write_text("# pack-refs\n" + "a" * 40 + " refs/heads/x\n")
+    assert runlog.head_commit(tmp_path / "a") == "a" * 7
+    (tmp_path / ".git" / "refs" / "heads" / "x").write_text("b" * 40 + "\n")
+    assert runlog.head_commit(tmp_path / "a") == "b" * 7
+    (tmp_path / ".git" / "HEAD").write_text("c" * 40 + "\n")
+    assert runlog.head_commit(tmp_path) == "c" * 7
+
+
+def test_runs_are_read_flat(spark, tmp_path):
+    path = tmp_path / "runs.jsonl"
+    for _ in range(2):
+        runlog.append_runs(runlog.run_record(spark, "r", {"dataset": {"name": "vihallu"}}, {"macro_f1": 0.5}, {"ms_per_sample": 1, "peak_vram_mb": 2}, "abc"), str(path))
     runs = runlog.read_runs(spark, str(path))
     assert runs.count() == 2 and "config.dataset.name" in runs.columns
     assert runlog.export_table(runs, {"config.dataset.name": "vihallu"}, ["run_name", "metrics.ece"]).collect()[0]["metrics.ece"] is None
