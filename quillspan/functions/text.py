@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
 
@@ -66,8 +67,10 @@ def sample_id(dataset: Column, split: Column, index: Column) -> Column:
 
 
 def json_meta(fields: dict[str, Column]) -> Column:
-    """A JSON object with sorted keys; nulls are kept."""
-    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+    """A JSON object with sorted keys, ``", "`` and ``": "`` between its parts and letters unescaped; nulls are kept."""
+    whole = lambda k: F.to_json(F.struct(fields[k].alias("v")), {"ignoreNullFields": "false"})  # noqa: E731  {"v":...}
+    parts = [F.concat(F.lit(json.dumps(k, ensure_ascii=False) + ": "), F.substring(whole(k), F.lit(6), F.length(whole(k)) - 6)) for k in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
 def find_evidence(context: Column, evidence: Column) -> tuple[Column, Column]:

@@ -3,56 +3,79 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import SPACE, is_blank, let, word_count
-
 CHUNK = "array<struct<text:string,char_start:bigint,char_end:bigint,index:int>>"
 
 WINDOW = "array<struct<token_start:bigint,token_end:bigint,text:string,char_start:bigint,char_end:bigint>>"
 
 
-def _starts(pieces: Column, gaps: Column) -> Column:
-    """Start of each piece where gap i follows piece i."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("s"))
-    step = lambda acc, i: F.struct((acc["at"] + F.length(F.get(pieces, i)) + F.coalesce(F.length(F.get(gaps, i)), F.lit(0))).cast("bigint").alias("at"), F.concat(acc["s"], F.array(acc["at"])).alias("s"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(pieces) - 1), zero, step)["s"]
+_GAP = re.compile(r"(?<=[.!?])\s+")
+_TOKEN = re.compile(r"\S+")
+
+
+def _struct_arrays(rows: list[list[tuple] | None], kind: pa.ListType) -> pa.Array:
+    """An array of lists of structs from lists of tuples, nulls kept."""
+    offsets, fields = [0], [[] for _ in kind.value_type]
+    for row in rows:
+        for found in row or ():
+            for column, x in zip(fields, found, strict=True):
+                column.append(x)
+        offsets.append(len(fields[0]))
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(fields, kind.value_type, strict=True)], fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+_CHUNKS = pa.list_(pa.struct([("text", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("index", pa.int32())]))
+_WINDOWS = pa.list_(pa.struct([("token_start", pa.int64()), ("token_end", pa.int64()), ("text", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64())]))
 
 
 def _numbered(chunks: Column) -> Column:
     return F.transform(chunks, lambda c, i: F.struct(c["text"].alias("text"), c["char_start"].alias("char_start"), c["char_end"].alias("char_end"), i.cast("int").alias("index"))).cast(CHUNK)
 
 
-def _whole(text: Column) -> Column:
-    return F.array(F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("char_start"), F.length(text).cast("bigint").alias("char_end"), F.lit(0).alias("index"))).cast(CHUNK)
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """Spans between white space that follows ``.``, ``!`` or ``?``; blank ones go; of a text without any, the whole."""
+    ends, starts = [m.start() for m in _GAP.finditer(text)], [m.end() for m in _GAP.finditer(text)]
+    found = zip([0, *starts], [*ends, len(text)], strict=True)
+    return [(a, z) for a, z in found if text[a:z].strip()] or [(0, len(text))]
 
 
 def sentences(text: Column) -> Column:
-    """Chunks split at white space after ``.``, ``!`` or ``?``; blank pieces go; a text without any is one chunk."""
-    placed = lambda pieces, gaps: F.zip_with(pieces, _starts(pieces, gaps), lambda p, s: F.struct(p.alias("text"), s.alias("char_start"), (s + F.length(p)).alias("char_end")))
-    split, between = F.split(text, f"(?<=[.!?]){SPACE}+", -1), F.regexp_extract_all(text, F.lit(f"(?<=[.!?])({SPACE}+)"), F.lit(1))
-    spans = let(split, lambda pieces: let(between, lambda gaps: placed(pieces, gaps)))
-    kept = F.filter(spans, lambda c: ~is_blank(c["text"]))
-    return let(kept, lambda k: F.when(F.size(k) == 0, _whole(text)).otherwise(_numbered(k)))
+    """Chunks split at white space after ``.``, ``!`` or ``?``; blank pieces go; a text without any is one chunk.
+
+    One pass over the text in Arrow batches: in SQL every start would be summed up, or every piece cut, from the text's beginning.
+    """
+
+    @F.arrow_udf(CHUNK)
+    def cut(texts: pa.Array) -> pa.Array:
+        return _struct_arrays([None if t is None else [(t[a:z], a, z, i) for i, (a, z) in enumerate(sentence_spans(t))] for t in texts.to_pylist()], _CHUNKS)
+
+    return cut(text)
 
 
 def merge_short(text: Column, chunks: Column, min_words: int = 5) -> Column:
     """Chunks with fewer than ``min_words`` words join the chunk before them; the first stays. Spans cover what lies between."""
 
-    def merged(chunks: Column, heads: Column) -> Column:
-        def joined(c: Column, j: Column) -> Column:
-            following = F.get(heads, j + 1)["index"]
-            end = F.get(chunks, F.coalesce(following - 1, F.size(chunks) - 1))["char_end"]
-            return F.struct(F.substring(text, c["char_start"].cast("int") + 1, (end - c["char_start"]).cast("int")).alias("text"), c["char_start"].alias("char_start"), end.alias("char_end"))
-
-        return _numbered(F.transform(heads, joined))
+    @F.arrow_udf(CHUNK)
+    def merged(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        out = []
+        for t, own in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
+            if t is None or own is None:
+                out.append(None)
+                continue
+            heads = [i for i, c in enumerate(own) if i == 0 or len(c["text"].split()) >= min_words]
+            spans = [(own[i]["char_start"], own[j - 1]["char_end"]) for i, j in zip(heads, [*heads[1:], len(own)], strict=True)]
+            out.append([(t[a:z], a, z, n) for n, (a, z) in enumerate(spans)])
+        return _struct_arrays(out, _CHUNKS)
 
-    heads = lambda c: F.filter(c, lambda x: (x["index"] == 0) | (word_count(x["text"]) >= min_words))
-    return let(chunks, lambda c: let(heads(c), lambda h: merged(c, h)))
+    return merged(text, chunks)
 
 
 def token_windows(text: Column, size: int, stride: int | None = None) -> Column:
@@ -60,28 +83,28 @@ def token_windows(text: Column, size: int, stride: int | None = None) -> Column:
 
     Structs of ``token_start``, ``token_end`` (exclusive), the text and its span. A text without words has no window.
     """
-    stride = stride or max(1, size // 2)
-    if not 1 <= stride <= size:
+    step = stride or max(1, size // 2)
+    if not 1 <= step <= size:
         raise ValueError("stride must be from 1 to size")
-    body = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
-    lead = F.length(text) - F.length(F.regexp_replace(text, f"^{SPACE}+", ""))
 
-    def windows(tokens: Column, starts: Column, lead: Column) -> Column:
-        n = F.size(tokens)
+    def windows(t: str) -> list[tuple]:
+        spans = [m.span() for m in _TOKEN.finditer(t)]
+        firsts = [i for i in range(0, len(spans), step) if i == 0 or i + size - step < len(spans)]
+        ends = [min(i + size, len(spans)) for i in firsts]
+        return [(i, j, t[spans[i][0] : spans[j - 1][1]], spans[i][0], spans[j - 1][1]) for i, j in zip(firsts, ends, strict=True)]
 
-        def window(i: Column) -> Column:
-            end = F.least(i + size, n)
-            a, b = lead + F.get(starts, i), lead + F.get(starts, end - 1) + F.length(F.get(tokens, end - 1))
-            return F.struct(i.cast("bigint").alias("token_start"), end.cast("bigint").alias("token_end"), F.substring(text, a.cast("int") + 1, (b - a).cast("int")).alias("text"), a.cast("bigint").alias("char_start"), b.cast("bigint").alias("char_end"))
+    @F.arrow_udf(WINDOW)
+    def cut(texts: pa.Array) -> pa.Array:
+        return _struct_arrays([None if t is None else windows(t) for t in texts.to_pylist()], _WINDOWS)
 
-        firsts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(stride)), lambda i: (i == 0) | (i + size - stride < n))
-        return F.transform(firsts, window)
+    return cut(text)
 
-    def split(body: Column) -> Column:
-        tokens, gaps = F.split(body, f"{SPACE}+"), F.regexp_extract_all(body, F.lit(f"({SPACE}+)"), F.lit(1))
-        return let(tokens, lambda t: let(gaps, lambda g: let(_starts(t, g), lambda s: let(lead, lambda at: windows(t, s, at)))))
 
-    return let(body, lambda b: F.when(F.length(b) == 0, F.array().cast(WINDOW)).otherwise(split(b)))
+def without_middle(text: str, spans: list[tuple[int, int]], n: int) -> tuple[str, list[tuple[int, int]]]:
+    """``text`` and its chunks' spans without the ``n`` chunks in the middle."""
+    at = (len(spans) - n) // 2
+    (a, _), (_, z) = spans[at], spans[at + n - 1]
+    return text[:a] + text[z:], spans[:at] + [(x - z + a, y - z + a) for x, y in spans[at + n :]]
 
 
 def drop_middle(text: Column, chunks: Column, n_drop: Column) -> Column:
@@ -127,10 +150,8 @@ def fit_to_budget(df: DataFrame, budget: int, context: str = "context", question
                 if total <= budget or len(spans) <= 1:
                     break
                 drop = min(max(1, math.ceil(len(spans) * (1 - budget / total + 0.05))), len(spans) - 1)
-                first = (len(spans) - drop) // 2
-                a, b = spans[first][0], spans[first + drop - 1][1]
-                text, cut = text[:a] + text[b:], True
-                spans = spans[:first] + [(x - b + a, y - b + a) for x, y in spans[first + drop :]]
+                text, spans = without_middle(text, spans, drop)
+                cut = True
             if fixed + count(text) > budget and (own := count(text)) > budget:
                 keep = max(1, int(len(text) * (budget / own) * 0.45))
                 text, cut = text[:keep] + text[-keep:], True

@@ -102,21 +102,25 @@ def passages_in(docs: DataFrame, passages: DataFrame, doc_text: str = "text", pa
     """Rows of both sides where the document holds the passage exactly (case and spaces too).
 
     A contained passage's inner words are whole words of the document in a row, so the first ``seed_words`` of them are a
-    key both sides share: an equi-join on their hash, then the containment is verified. Passages with fewer inner words have
-    no key; up to ``short_rows`` of them are broadcast against all documents, more raise.
+    key both sides share: an equi-join on their hash. Only hashes of texts and keys are joined; the texts meet once for each
+    pair of equal hashes, and the containment is verified. Passages with fewer inner words have no key and meet all
+    documents, broadcast if they are ``short_rows`` or fewer. Rows that repeat stay repeated; null and empty passages are in
+    none, and null texts hold none.
     """
     ws = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
     split = lambda c: F.array_remove(F.split(c, ws), "")
     key = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(seed_words)])
-    p = passages.withColumn("_w", split(F.col(passage_text))).withColumn("_lead", F.col(passage_text).rlike(f"^{ws}").cast("int"))
-    inner = F.size("_w") - 2 + F.col("_lead")
-    long = p.where(inner >= seed_words).withColumn("_key", key(F.col("_w"), 1 - F.col("_lead"))).drop("_w", "_lead")
-    short = p.where(inner < seed_words).drop("_w", "_lead").where(F.length(passage_text) > 0)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_w", split(F.col(doc_text)))
-    spots = numbered.where(F.size("_w") >= seed_words).withColumn("_at", F.explode(F.sequence(F.lit(0), F.size("_w") - seed_words))).withColumn("_key", key(F.col("_w"), F.col("_at"))).drop("_w", "_at")
+    lead = F.col(passage_text).rlike(f"^{ws}").cast("int")
+    keyed = passages.where(F.length(passage_text) > 0).withColumn("_ph", F.xxhash64(passage_text)).withColumn("_w", split(F.col(passage_text))).withColumn("_lead", lead).withColumn("_inner", F.size("_w") - 2 + F.col("_lead"))
+    seeds = keyed.where(F.col("_inner") >= seed_words).select(key(F.col("_w"), 1 - F.col("_lead")).alias("_key"), "_ph").distinct()
+    rows = docs.select(F.xxhash64(doc_text).alias("_dh"), split(F.col(doc_text)).alias("_w")).where(F.size("_w") >= seed_words)
+    spots = rows.select("_dh", "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - seed_words)).alias("_at")).select("_dh", key(F.col("_w"), F.col("_at")).alias("_key"))
+    near = spots.join(seeds, "_key").select("_dh", "_ph").distinct()
     holds = F.col(doc_text).contains(F.col(passage_text))
-    found = spots.join(long, "_key").where(holds).dropDuplicates(["_row", *[c for c in passages.columns]]).select(*docs.columns, *passages.columns)
+    met = near.join(passages.withColumn("_ph", F.xxhash64(passage_text)), "_ph").join(docs.withColumn("_dh", F.xxhash64(doc_text)), "_dh")
+    found = met.where(holds).select(*docs.columns, *passages.columns)
+    short = keyed.where(F.col("_inner") < seed_words).select(*passages.columns)
     n = short.limit(short_rows + 1).count()
-    if n > short_rows:
-        raise ValueError(f"more than {short_rows} passages are too short for a key")
-    return found if not n else found.unionByName(docs.join(F.broadcast(short), holds))
+    if not n:
+        return found
+    return found.unionByName(docs.join(F.broadcast(short) if n <= short_rows else short, holds))

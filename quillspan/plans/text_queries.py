@@ -36,7 +36,7 @@ def grounded(spark, d):
 _GROUNDED = f"""SELECT 'documents_' || split || '_' || doc_id || '_' || item_id AS sample_id, 'documents' AS dataset, split, text AS context, context_id, '' AS question, passage AS response,
   CASE WHEN quality IS NULL THEN 'extrinsic' ELSE {SQL_LABEL} END AS label, coalesce(quality || '/' || toxic, 'none') AS label_original, passage AS evidence,
   CAST(strpos(text, passage) - 1 AS BIGINT) AS evidence_start, CAST(strpos(text, passage) - 1 + length(passage) AS BIGINT) AS evidence_end, false AS response_is_generated,
-  '{{"item_id":"' || item_id || '","lang":"' || lang || '","source":"' || source || '"}}' AS meta
+  '{{"item_id": "' || item_id || '", "lang": "' || lang || '", "source": "' || source || '"}}' AS meta
 FROM (SELECT *, {SQL_SPLIT("context_id")} AS split FROM (
   SELECT d.doc_id, d.text, d.lang, d.source, b.item_id, b.text AS passage, l.quality, l.toxic, {SQL_CONTEXT_ID("d.text")} AS context_id
   FROM documents d JOIN benchmark b ON contains(d.text, b.text) LEFT JOIN labels l ON l.doc_id = d.doc_id))"""

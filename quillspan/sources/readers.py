@@ -35,6 +35,23 @@ MINIMAL = {  # corpus: context, question, response
     "viwikifc": ("context", None, "claim"),
     "vifactcheck": ("Context", None, "Statement"),
 }
+# Rows of each split and label in the published corpora; the misses and the share of evidence found there.
+PUBLISHED = {
+    "vihallu": {"train": {"no": 2245, "intrinsic": 2448, "extrinsic": 2307}},
+    "isedsc01": {"train": {"no": 12786, "intrinsic": 11000, "extrinsic": 12583}},
+    "viwikifc": {
+        "train": {"no": 5594, "intrinsic": 5573, "extrinsic": 5571},
+        "dev": {"no": 666, "intrinsic": 694, "extrinsic": 730},
+        "test": {"no": 708, "intrinsic": 706, "extrinsic": 677},
+    },
+    "vifactcheck": {
+        "train": {"no": 1751, "intrinsic": 1658, "extrinsic": 1653},
+        "dev": {"no": 256, "intrinsic": 244, "extrinsic": 223},
+        "test": {"no": 508, "intrinsic": 468, "extrinsic": 471},
+    },
+}
+EVIDENCE_MISSES = {"viwikifc": 1}
+EVIDENCE_RATE = {"vifactcheck": (0.55, 0.65)}
 
 
 def require_file(spark: SparkSession, path: str) -> str:
@@ -51,8 +68,12 @@ def require_columns(df: DataFrame, names: tuple[str, ...], where: str) -> DataFr
 
 
 def numbered(df: DataFrame, name: str = "_index") -> DataFrame:
-    """0-based row numbers in scan order; the readers' files are one partition each."""
-    return df.withColumn("_mid", F.monotonically_increasing_id()).withColumn(name, F.row_number().over(Window.orderBy("_mid")) - 1).drop("_mid")
+    """0-based row numbers in scan order: the number in the partition after the rows of those before it, one count for each."""
+    mid = F.monotonically_increasing_id()  # the partition above the row's number of 33 bits
+    rows = df.withColumn("_part", F.shiftright(mid, 33)).withColumn("_nth", mid.bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_nth")).cast("int")).drop("_part", "_nth", "_before")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -141,10 +162,21 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def normalise(spark: SparkSession, dataset: str, raw_dir: str) -> DataFrame:
-    """A corpus in the common schema, validated."""
+def check_published(df: DataFrame, dataset: str) -> None:
+    """Raise if a corpus isn't the published one: its counts by split and label, and how much evidence is found in it."""
+    schema.check_counts(df, {(split, label): n for split, labels in PUBLISHED[dataset].items() for label, n in labels.items()})
+    if dataset in EVIDENCE_MISSES:
+        schema.check_misses(df, EVIDENCE_MISSES[dataset])
+    if dataset in EVIDENCE_RATE:
+        schema.check_evidence_rate(df, *EVIDENCE_RATE[dataset])
+
+
+def normalise(spark: SparkSession, dataset: str, raw_dir: str, published: bool = False) -> DataFrame:
+    """A corpus in the common schema, validated; with ``published`` it must be the published one to the row."""
     df = READERS[dataset](spark, raw_dir)
     schema.validate(df)
+    if published:
+        check_published(df, dataset)
     return df
 
 

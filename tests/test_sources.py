@@ -2,6 +2,7 @@ import json
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan import config
 from quillspan.sources import paths, readers, sinks
@@ -40,6 +41,22 @@ def test_readers(spark, tmp_path):
     assert sinks.retrieval_corpus(w).count() == 1
 
 
+def test_published_counts(spark, tmp_path):
+    raw = corpora(tmp_path)
+    for name in ("isedsc01", "viwikifc", "vifactcheck"):
+        with pytest.raises(ValueError, match="unexpected counts"):
+            readers.normalise(spark, name, raw, published=True)
+    rows = spark.createDataFrame([(s, lab, 0) for s, labels in readers.PUBLISHED["viwikifc"].items() for lab, n in labels.items() for _ in range(n)], "split string, label string, evidence_start int")
+    readers.check_published(rows, "viwikifc")
+    with pytest.raises(ValueError, match="without located evidence"):
+        readers.check_published(rows.withColumn("evidence_start", F.lit(-1)), "viwikifc")
+
+
+def test_row_numbers_follow_the_scan(spark):
+    df = spark.range(0, 1000, 1, 7)
+    assert [(r.id, r._index) for r in readers.numbered(df).orderBy("id").collect()] == [(i, i) for i in range(1000)]
+
+
 def test_reader_errors(spark, tmp_path):
     raw = corpora(tmp_path)
     with pytest.raises(FileNotFoundError):
