@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,27 +92,35 @@ class WordEncoder:
         for w in marked:
             seen[w] = seen[w[:-1]] + seen[w[-1]]
 
-    def words(self, text: str) -> list[str]:
+    def spaced(self, text: str) -> str:
+        """``text`` with single spaces where its words part."""
         if "<|" not in text and is_latin1(text):
             text = text.lower()
         text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
         if not _MARKS.search(text):  # every mark before a space follows a letter or digit, and is a pre-token of its own
             for mark in ".,;:!?":
                 text = text.replace(f"{mark} ", f" {mark} ")
-        return text.split(" ")
+        return text
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the texts' new words are learned together."""
-        if not self.by_word:
-            return self.library(texts)
-        cut = [self.words(t) for t in texts]
+        """Ids of each text. Only the distinct words of all the texts meet Python; the ids are laid out by their numbers."""
+        if not self.by_word or not texts:
+            return self.library(texts) if texts else []
+        split = pc.split_pattern(pa.array([self.spaced(t) for t in texts], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         known = self.seen.get
-        found = [list(map(known, words)) for words in cut]
-        new = {w for words, ids in zip(cut, found) if None in ids for w, x in zip(words, ids) if x is None}
-        if new:
-            self.learn(new)
-        seen = self.seen
-        return [b"".join([seen[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids) for words, ids in zip(cut, found)]
+        ids = list(map(known, words))
+        if None in ids:
+            self.learn({w for w, x in zip(words, ids) if x is None})
+            ids = [self.seen[w] if x is None else x for w, x in zip(words, ids)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(sizes) - sizes
+        each = sizes[at]
+        ends = np.r_[0, np.cumsum(each)]
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first[at] - ends[:-1], each) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [flat[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
 
     def __call__(self, text: str) -> bytes:
         return self.encode([text])[0]
@@ -125,7 +134,20 @@ def is_latin1(text: str) -> bool:
     return True
 
 
-GROUP = 64  # texts whose new words are learned together
+GROUP, GROUP_CHARACTERS = 1024, 4_000_000  # texts that are encoded together, at most
+
+
+def grouped(texts: pa.Array) -> Iterator[list[str]]:
+    group, size = [], 0
+    for t in texts:
+        group.append(t.as_py() or "")
+        size += len(group[-1])
+        if len(group) == GROUP or size > GROUP_CHARACTERS:
+            yield group
+            group, size = [], 0
+    yield group
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -142,7 +164,7 @@ def _pieces(path: str, capacity: int, unit: int, end_id: int):
         nth = np.zeros(capacity // unit + 2, np.int64)
         for rows in batches:
             out: list[list] = [[] for _ in range(8)]
-            encoded = itertools.chain.from_iterable(encode([t or "" for t in rows.column(1).slice(at, GROUP).to_pylist()]) for at in range(0, rows.num_rows, GROUP))
+            encoded = itertools.chain.from_iterable(map(encode, grouped(rows.column(1))))
             for k, ids in zip(rows.column(0).to_pylist(), encoded, strict=True):
                 ids += end
                 n = len(ids) // 4
