@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -88,13 +89,29 @@ def test_shard_files(spark, table, tmp_path):
 
 
 def plain_base(text):
-    found = [("email", m.start(), m.end()) for m in pii.EMAIL.finditer(text)]
-    found += [("ip", m.start(), m.end()) for m in pii.IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
-    for m in pii.CARD.finditer(text):
-        d = re.sub("[ -]", "", m[0])
-        if 12 <= len(d) <= 19 and pii.luhn(d):
+    """The definitions written out again, with a Luhn sum of its own."""
+    found = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c not in " -"]
+        if 12 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10 == 0:
             found.append(("card", m.start(), m.end()))
-    return sorted(found + [("phone", m.start(), m.end()) for m in pii.PHONE.finditer(text) if 9 <= len(re.findall("[0-9]", m[0])) <= 15])
+    return sorted(found + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.findall("[0-9]", m[0])) <= 15])
+
+
+def test_spans_are_digested_in_order():
+    """A digest written out by hand: by start, then by kind."""
+    text = "a@b.co 1.2.3.4 +4111 1111 1111 1111"
+    assert pii.digest(pii.base_spans(text)) == "email:0:6,ip:7:14,card:16:35" and pii.digest([("phone", 1, 9), ("email", 1, 4)]) == "email:1:4,phone:1:9"
+    assert secrets.digest([("hex", 9, 49), ("access", 0, 20), ("assign", 0, 49)], secrets.KINDS) == "assign:0:49,access:0:20,hex:9:49"
+
+
+@pytest.mark.parametrize("run", ["1", "1.", "a", "a@", "a.b-", "a-.", ":80", "4 ", "+1(", "user=", "AKIA", "a@b.", "a@b.c-"])
+def test_patterns_take_linear_time(run):
+    """A quadratic pattern would take minutes over a megabyte of any of these."""
+    text, began = run * (1_000_000 // len(run)) + "@", time.monotonic()
+    pii.base_spans(text), secrets.secret_spans(text)
+    assert time.monotonic() - began < 10
 
 
 @settings(max_examples=400, deadline=None)
