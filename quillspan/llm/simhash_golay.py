@@ -13,6 +13,14 @@ first segment, own key of the second) and a right set (own key of the first, nea
 are joined and the distance of the whole fingerprints is verified. Nothing within the distance is missed.
 
 Only different fingerprints are joined; copies stay in the table of membership.
+
+Near copies at a similarity (``keep_one_of_each``): three bits of one fingerprint can't reach five-word shingles at Jaccard
+0.8, so the distinct shingles are dealt to ``GROUPS`` groups by their hash, and each group votes a fingerprint of two 23-bit
+segments of its own. A segment is decoded softly: the codewords that agree best with its votes, each bit weighted by its
+majority, are its two nearest indices, and a group gives three keys of 24 bits (both first indices, or one first and one
+second). A changed shingle touches its own group only, so texts that differ in fewer shingles than there are groups have an
+untouched group (pigeonhole); beyond that the keys are met with high probability, not with certainty. Texts that share a
+key are compared by the exact Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -28,13 +36,22 @@ from .common import components, fresh, sized, staged, text_or_empty
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 PAIRS = ((0, 1), (0, 2), (1, 2))
+GROUPS = 8
+SEGMENT = 23
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, generates the (23, 12, 7) Golay code
 
 
+_FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def folded_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split()
+    words = folded_words(text)
     if not words:
         return 0
     n = max(1, len(words) - width + 1)
@@ -46,6 +63,45 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Distinct hashes of the shingles, ascending; fewer words give the whole sequence, no word the empty one."""
+    import xxhash
+
+    words = folded_words(text)
+    n = max(1, len(words) - width + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
+
+
+def group_votes(shingles: np.ndarray) -> np.ndarray:
+    """(group, segment, bit) sums of +1 and -1 over each group's shingles; zeros where a group has none."""
+    votes = np.zeros((GROUPS, 2 * SEGMENT), np.float64)
+    for at in range(0, len(shingles), 1 << 14):
+        part = shingles[at : at + (1 << 14)]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, : 2 * SEGMENT].astype(np.float32) * 2 - 1
+        own = (part >> np.uint64(61)).astype(np.int64)[None, :] == np.arange(GROUPS)[:, None]
+        votes += own.astype(np.float32) @ bits
+    return votes.reshape(GROUPS, 2, SEGMENT)
+
+
+def codewords() -> np.ndarray:
+    """The 4096 codewords by index, as rows of +1 and -1, lowest bit first."""
+    words = np.arange(4096) << 11
+    words ^= syndromes(words)
+    return ((words[:, None] >> np.arange(SEGMENT) & 1) * 2 - 1).astype(np.float32)
+
+
+def soft_keys(votes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """(row, group, 3) keys of ``votes`` (row, group, segment, bit); -1 for an empty group."""
+    rows = len(votes)
+    agree = votes.reshape(-1, SEGMENT).astype(np.float32) @ codes.T
+    first = agree.argmax(axis=1)
+    agree[np.arange(len(agree)), first] = -np.inf
+    first, second = first.reshape(rows, GROUPS, 2), agree.argmax(axis=1).reshape(rows, GROUPS, 2)
+    (a, b), (c, d) = (first[..., 0], first[..., 1]), (second[..., 0], second[..., 1])
+    keys = np.stack([a << 12 | b, a << 12 | d, c << 12 | b], axis=2) | (np.arange(GROUPS) << 24)[None, :, None]
+    return np.where((votes != 0).any(axis=(2, 3))[..., None], keys, -1)
+
+
 def syndromes(words: np.ndarray) -> np.ndarray:
     """Remainders of 23-bit words by the generator."""
     rest = words.astype(np.int64)
@@ -143,18 +199,80 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
+def _group_keys(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = codewords()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                rows = whole.slice(at, 64)
+                votes, sizes = np.zeros((rows.num_rows, GROUPS, 2, SEGMENT)), []
+                for k, text in enumerate(rows.column(1)):
+                    shingles = shingle_set(text.as_py(), width)
+                    votes[k] = group_votes(shingles)
+                    sizes.append(len(shingles))
+                keys = soft_keys(votes, codes).reshape(rows.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int32()), pa.array([k[k >= 0] for k in keys], pa.list_(pa.int64()))], ["dh", "n", "keys"])
+
+    return run
+
+
+def _shingle_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                rows = whole.slice(at, 256)
+                sets = [shingle_set(t.as_py(), width).view(np.int64) for t in rows.column(1)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], ["dh", "hs"])
+
+    return run
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The ``pairs`` (``a``, ``b``) whose shingles have a Jaccard similarity of ``least`` or more; only texts in a pair are read again."""
+    pairs = staged(pairs.distinct(), "pairs")
+    members = staged(pairs.select(F.explode(F.array("a", "b")).alias("dh")).distinct(), "members")
+    sets = staged(texts.join(sized(members), "dh").select("dh", "text").dropDuplicates(["dh"]).mapInArrow(_shingle_sets(width), "dh bigint, hs array<bigint>"), "shingles")
+    both = pairs.join(sets.select(F.col("dh").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("dh").alias("b"), F.col("hs").alias("hb")), "b")
+    both = both.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("c"))
+    return staged(both.where(F.col("c") >= F.lit(least) * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"), "similar")
+
+
+def near_copy_roots(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """``node`` and ``root`` of the texts (``dh`` a hash of the text, ``text``) that have a near copy and aren't the root themselves.
+
+    Each text of a key is first compared with the key's least text. What that joins needs no further comparison: then
+    only texts of one key that are still in different classes meet, so a large group of copies never meets itself whole.
+    """
+    nodes = staged(texts.mapInArrow(_group_keys(width), "dh bigint, n int, keys array<bigint>").dropDuplicates(["dh"]), "golay-groups")
+    keys = nodes.select(F.explode("keys").alias("key"), "dh", "n").distinct()
+    hubs = staged(keys.groupBy("key").agg(F.min(F.struct("dh", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "hub"), "hubs")
+    shared = staged(keys.join(hubs, "key"), "shared-keys")
+    near = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y)  # noqa: E731  no similarity is above the ratio of the sizes
+    star = shared.where((F.col("hub.dh") != F.col("dh")) & near(F.col("hub.n"), F.col("n"))).select(F.col("hub.dh").alias("a"), F.col("dh").alias("b"))
+    links = _similar(star, texts, width, least)
+    roots = components(links, "a", "b", "star")
+    classed = staged(shared.join(roots, F.col("dh") == F.col("node"), "left").select("key", "dh", "n", F.coalesce("root", "dh").alias("root")), "classed-keys")
+    open_keys = classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left = classed.join(open_keys, "key")
+    right = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("dh", "n", "root")])
+    across = left.join(right, "key").where((F.col("root") < F.col("root2")) & near(F.col("n"), F.col("n2")))
+    more = _similar(across.select(F.least("dh", "dh2").alias("a"), F.greatest("dh", "dh2").alias("b")), texts, width, least)
+    return components(links.unionByName(more), "a", "b", "copies")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each class of near-duplicates, all columns kept, whatever their names.
 
-    It is the row of the least id (null ids last) and, within it, the least text hash; of rows that repeat both, the first by
-    their other columns. A class never goes without a row: an id that several texts share counts once for each text. Null and
-    empty texts are one class.
+    Texts link if their sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more; classes are connected
+    groups. The row that stays is that of the least id (null ids last) and, within it, the least text hash; of rows that repeat
+    both, the first by their other columns. A class never goes without a row: an id that several texts share counts once for
+    each text. Null and empty texts are one class. An empty table gives no rows; texts of any length are read whole.
     """
-    text = F.col(text_col)
-    hashed = docs.select(F.col(id_col).alias("id"), text.alias("text"), _text_hash(text).alias("dh"))
-    fps = staged(hashed.mapInArrow(_fingerprints(width), "id bigint, fp bigint, dh bigint"), "fingerprints")
+    texts = docs.select(_text_hash(F.col(text_col)).alias("dh"), F.col(text_col).alias("text"))
+    roots = near_copy_roots(texts, width, least)
     order = F.struct(F.col("id").isNull().alias("nameless"), "id", "dh")
-    marked = fps.groupBy("fp", "id", "dh").agg(F.count(F.lit(1)).alias("n")).join(fingerprint_classes(fps, distance), "fp").select("root", "n", order.alias("me"))
+    rows = docs.select(F.col(id_col).alias("id"), _text_hash(F.col(text_col)).alias("dh")).groupBy("id", "dh").agg(F.count(F.lit(1)).alias("n"))
+    marked = rows.join(roots, F.col("dh") == F.col("node"), "left").select(F.coalesce("root", "dh").alias("root"), "n", order.alias("me"))
     kept = marked.groupBy("root").agg(F.min("me").alias("kept"))
     id_, dh = fresh(docs, "gone_id"), fresh(docs, "gone_dh")
     judged = staged(marked.join(kept, "root").select((F.col("me") == F.col("kept")).alias("stays"), "n", F.col("me.id").alias(id_), F.col("me.dh").alias(dh)), "judged")

@@ -545,9 +545,57 @@ def test_near_duplicates(spark, table):
     prints = [plain_fingerprint(t) for t in texts]
     root = roots_of([(i, j) for i in range(len(texts)) for j in range(i + 1) if bin(prints[i] ^ prints[j]).count("1") <= 3])
     assert {i: r.component_id for i, r in got.items()} == root and all(r.fp & (2**64 - 1) == prints[i] for i, r in got.items())
+    assert simhash_golay.near_duplicate_classes(df.limit(0)).count() == 0
+
+
+def near_copies(texts, width=5, least=0.8):
+    """The least place that each text is joined with, all pairs of word shingle sets compared."""
+    sets = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))})
+    return roots_of([(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[: i + 1]) if len(a & b) >= least * len(a | b)])
+
+
+def edited(rng, text, n):
+    words = text.split()
+    for k in rng.sample(range(len(words)), n):
+        words[k] = f"zulu{rng.randrange(99)}"
+    return " ".join(words)
+
+
+def test_one_of_each_class_of_near_copies(spark, table):
+    rng = random.Random(31)
+    base = [prose(rng, n) for n in (5, 12, 30, 60, 120, 300) for _ in range(3)]
+    texts = base + [edited(rng, t, n) for t in base for n in (1, 2, 4)] + base[:4] + [base[3].upper()] + AWKWARD
+    chain = [prose(rng, 100)]
+    for _ in range(12):  # each a near copy of the one before only
+        chain.append(edited(rng, chain[-1], 1))
+    hub = prose(rng, 200)
+    texts += chain + [edited(rng, hub, 2) for _ in range(120)]
+    df = table(texts)
     kept = simhash_golay.keep_one_of_each(df.union(df))
+    root = near_copies(texts)
+    assert len(set(root.values())) < len(texts) - 100
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values())) and kept.columns == df.columns
-    assert simhash_golay.near_duplicate_classes(df.limit(0)).count() == 0
+
+
+def test_texts_at_the_similarity_share_a_key():
+    """Of pairs just above the bound, over all lengths, at least nine in ten meet; all pairs three shingles apart do."""
+    rng, codes = random.Random(32), simhash_golay.codewords()
+    met = {"near": [], "edge": []}
+    for n in (30, 60, 100, 200, 500, 1000):
+        for _ in range(40):
+            a = " ".join(f"{rng.choice(WORDS)}{rng.randrange(999)}" for _ in range(n))
+            b = edited(rng, a, max(1, round(0.022 * n)))
+            x, y = (simhash_golay.shingle_set(t, 5) for t in (a, b))
+            both = len(np.intersect1d(x, y))
+            if both >= 0.8 * (len(x) + len(y) - both):
+                share = bool(np.intersect1d(*(k[k >= 0] for k in simhash_golay.soft_keys(np.stack([simhash_golay.group_votes(x), simhash_golay.group_votes(y)]), codes))).size)
+                met["edge"].append(share)
+            z = x[: -min(3, len(x) - 1)]
+            met["near"].append(bool(np.intersect1d(*(k[k >= 0] for k in simhash_golay.soft_keys(np.stack([simhash_golay.group_votes(x), simhash_golay.group_votes(z)]), codes))).size))
+    assert all(met["near"]) and len(met["edge"]) > 100 and np.mean(met["edge"]) >= 0.9
 
 
 def test_every_class_keeps_one_row(spark):
@@ -557,8 +605,7 @@ def test_every_class_keeps_one_row(spark):
     rows = [(1, a, 1, "p"), (5, a, 2, "q"), (5, b, 3, None), (6, c, 4, "r"), (6, b + " zulu", 5, "s"), (None, a, 6, "t"), (None, a, 6, "t"), (7, c, None, "u"), (6, c, 4, "r"), (8, None, 1, "v"), (9, "", 1, "w")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, nth int, gone_id string")
     kept = simhash_golay.keep_one_of_each(df)
-    prints = [plain_fingerprint(r[1]) for r in rows]
-    classes = roots_of([(i, j) for i in range(len(rows)) for j in range(i + 1) if bin(prints[i] ^ prints[j]).count("1") <= 3])
+    classes = near_copies([r[1] for r in rows])
     got = [(r.doc_id, r.text) for r in kept.collect()]
     assert kept.columns == df.columns and len(got) == len(set(classes.values()))
     assert {classes[[r[:2] for r in rows].index(g)] for g in got} == set(classes.values()) and (1, a) in got and (6, c) in got
