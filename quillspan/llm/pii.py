@@ -5,15 +5,17 @@ CRF with learned transitions gives the best tag sequence. It is trained in numpy
 forward-backward sums and both LSTMs, from labelled spans (``labelled_spans`` writes them: sentences of made-up words with
 personal data in base and in disguised forms, and with numbers that are none).
 
-A text is decoded in overlapping windows. Every character takes its tag from the window whose centre is nearest, and spans
-are read from the tags of the whole text, so none is cut at a window's edge. A span holds a digit, an @ or a written-out
-"(at)" by definition of the labels; windows without one of these can yield no span and are not run. Spans that touch a base
-span are left out: base spans stay as they are.
+A text is read in overlapping windows and decoded once: every character takes its tag scores from the window whose centre
+is nearest, and one Viterbi path runs over the scores of the whole stretch of windows, so the transitions across a seam are
+scored like any other and no span is cut at a window's edge. A span holds a digit, an @ or a written-out "(at)" by
+definition of the labels; windows without one of these can yield no span and are not run, so a path ends where they begin.
+Spans that touch a base span are left out: base spans stay as they are.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -98,6 +100,7 @@ N_CLASSES = 26 + 2 + len(_PUNCTUATION) + 3  # a-z, A-Z as one, 0-9 as one, punct
 PAD = N_CLASSES - 1
 
 
+@functools.cache
 def class_table() -> np.ndarray:
     """Class of every code point below 0x250; beyond, letters can't be told apart and count as the rest."""
     table = np.full(0x250, N_CLASSES - 2, np.int64)
@@ -169,15 +172,28 @@ class Tagger:
         """Best tags (n, t)."""
         e = self.emissions(ids)
         n, t, k = e.shape
-        best, back = self.p["start"] + e[:, 0], np.zeros((t, n, k), np.int8)
-        for s in range(1, t):
-            options = best[:, :, None] + self.p["trans"]
-            back[s] = options.argmax(axis=1)
-            best = options.max(axis=1) + e[:, s]
-        tags = np.zeros((n, t), np.int64)
-        tags[:, -1] = best.argmax(axis=1)
-        for s in range(t - 1, 0, -1):
-            tags[:, s - 1] = back[s][np.arange(n), tags[:, s]]
+        return self.best_paths(e.reshape(n * t, k), np.full(n, t)).reshape(n, t)
+
+    def best_paths(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Best tags of sequences of any lengths, whose scores follow each other in ``e`` (sum of lengths, k).
+
+        Step s runs for all sequences that are longer than s at once; the memory is that of ``e`` and a byte for each score.
+        """
+        starts = np.cumsum(lengths) - lengths
+        order = np.argsort(-lengths, kind="stable")
+        first, down = starts[order], -lengths[order]
+        best, back = self.p["start"] + e[first], np.zeros(e.shape, np.int8)
+        going = [int(np.searchsorted(down, -s)) for s in range(int(lengths.max()))]
+        for s in range(1, len(going)):
+            m = going[s]
+            options = best[:m, :, None] + self.p["trans"]
+            back[first[:m] + s] = options.argmax(axis=1)
+            best[:m] = options.max(axis=1) + e[first[:m] + s]
+        tags, now = np.zeros(len(e), np.int64), best.argmax(axis=1)
+        for s in range(len(going) - 1, -1, -1):
+            at = first[: going[s]] + s
+            tags[at] = now[: going[s]]
+            now[: going[s]] = back[at, now[: going[s]]]
         return tags
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -189,14 +205,14 @@ class Tagger:
         trans, start = self.p["trans"], self.p["start"]
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
         alpha[:, 0] = start + e[:, 0]
+        step = np.exp(trans)
         for s in range(1, t):
-            x = alpha[:, s - 1, :, None] + trans
-            top = x.max(axis=1)
-            alpha[:, s] = np.log(np.exp(x - top[:, None]).sum(axis=1)) + top + e[:, s]
+            top = alpha[:, s - 1].max(axis=1, keepdims=True)
+            alpha[:, s] = np.log(np.exp(alpha[:, s - 1] - top) @ step) + top + e[:, s]
         for s in range(t - 2, -1, -1):
-            x = trans + (e[:, s + 1] + beta[:, s + 1])[:, None, :]
-            top = x.max(axis=2)
-            beta[:, s] = np.log(np.exp(x - top[:, :, None]).sum(axis=2)) + top
+            ahead = e[:, s + 1] + beta[:, s + 1]
+            top = ahead.max(axis=1, keepdims=True)
+            beta[:, s] = np.log(np.exp(ahead - top) @ step.T) + top
         top = alpha[:, -1].max(axis=1)
         z = np.log(np.exp(alpha[:, -1] - top[:, None]).sum(axis=1)) + top
         rows, steps = np.arange(n)[:, None], np.arange(t)[None, :]
@@ -205,22 +221,26 @@ class Tagger:
         de = np.exp(alpha + beta - z[:, None, None])
         grads["start"] = de[:, 0].sum(axis=0) - np.bincount(tags[:, 0], minlength=self.k)
         de[rows, steps, tags] -= 1
-        pair = np.exp(alpha[:, :-1, :, None] + trans + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum(axis=(0, 1))
+        ahead = e[:, 1:] + beta[:, 1:]
+        most, top = alpha[:, :-1].max(axis=2, keepdims=True), ahead.max(axis=2, keepdims=True)
+        before = np.exp(alpha[:, :-1] - most) * np.exp(most + top - z[:, None, None])
+        pair = step * np.einsum("nti,ntj->ij", before, np.exp(ahead - top), optimize=True)
         np.add.at(pair, (tags[:, :-1], tags[:, 1:]), -1)
         grads["trans"] = pair
-        grads["out"] = np.einsum("nth,ntk->hk", states, de)
+        grads["out"] = states.reshape(n * t, -1).T @ de.reshape(n * t, -1)
         grads["bias"] = de.sum(axis=(0, 1))
         dstates = de @ self.p["out"].T
         for d, part in (("f", dstates[:, :, : self.h]), ("b", dstates[:, :, self.h :])):
-            dh, dc = np.zeros((n, self.h)), np.zeros((n, self.h))
+            dh, dc, dzs = np.zeros((n, self.h)), np.zeros((n, self.h)), np.zeros((n, t, 4 * self.h))
             u = self.p["u" + d]
             for s, i, f, o, g, before, tc, prior in reversed(kept[d]):
                 dh = dh + part[:, s]
                 dc = dc + dh * o * (1 - tc * tc)
                 dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-                np.add.at(grads["x" + d], ids[:, s], dz)
+                dzs[:, s] = dz
                 grads["u" + d] += prior.T @ dz
                 dh, dc = dz @ u.T, dc * f
+            grads["x" + d] = (ids.ravel() == np.arange(N_CLASSES)[:, None]).astype(float) @ dzs.reshape(n * t, -1)
         return float((z - gold).mean()), {name: g / n for name, g in grads.items()}
 
     def train(self, texts: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 600, batch: int = 48, rate: float = 0.02, seed: int = 5) -> list[float]:
@@ -383,22 +403,22 @@ def decode(tagger: Tagger, texts: list[str], rows: int = 512) -> list[list[tuple
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not ids:
         return out
-    tags = np.concatenate([tagger.viterbi(np.stack(ids[a : a + rows])) for a in range(0, len(ids), rows)])
     lap = (WINDOW - STRIDE) // 2
-    i = 0
-    while i < len(places):  # stretches of windows that follow each other on the grid
-        j = i + 1
-        while j < len(places) and places[j][0] == places[i][0] and places[j][1] == places[j - 1][1] + STRIDE:
-            j += 1
-        k, s = places[i]
-        whole = np.zeros((j - i - 1) * STRIDE + WINDOW, np.int64)
-        for w in range(i, j):  # the nearest centre decides
-            a = 0 if w == i else lap
-            b = WINDOW if w == j - 1 else WINDOW - lap
-            at = (w - i) * STRIDE
-            whole[at + a : at + b] = tags[w, a:b]
-        out[k] += spans_in(whole[: len(texts[k]) - s], texts[k], s)
-        i = j
+    parts, stretches = [], []  # the scores that each window decides, and (text, start, length) of the windows that follow each other
+    for a in range(0, len(ids), rows):
+        for w, scores in enumerate(tagger.emissions(np.stack(ids[a : a + rows])).astype(np.float32), a):
+            k, s = places[w]
+            begins = w == 0 or places[w - 1] != (k, s - STRIDE)
+            ends = w + 1 == len(places) or places[w + 1] != (k, s + STRIDE)
+            part = scores[0 if begins else lap : min(WINDOW if ends else WINDOW - lap, len(texts[k]) - s)]
+            parts.append(part)
+            if begins:
+                stretches.append([k, s, 0])
+            stretches[-1][2] += len(part)
+    lengths = np.array([n for _, _, n in stretches])
+    tags = tagger.best_paths(np.concatenate(parts), lengths)
+    for (k, s, n), end in zip(stretches, np.cumsum(lengths), strict=True):
+        out[k] += spans_in(tags[end - n : end], texts[k], s)
     return out
 
 

@@ -149,6 +149,45 @@ def test_viterbi_is_the_best_path():
     assert tuple(tagger.viterbi(ids)[0]) == best
 
 
+def plain_path(tagger, scores):
+    """The best tags of one sequence, by the plain recursion."""
+    best, paths = {}, [(tagger.p["start"][k] + scores[0][k], [k]) for k in range(len(pii.TAGS))]
+    for row in scores[1:]:
+        best = [max((paths[j][0] + tagger.p["trans"][j, k], j) for j in range(len(pii.TAGS))) for k in range(len(pii.TAGS))]
+        paths = [(v + row[k], paths[j][1] + [k]) for k, (v, j) in enumerate(best)]
+    return max(paths)[1]
+
+
+def test_paths_of_any_length():
+    tagger, rng = pii.Tagger(3, seed=4), np.random.default_rng(6)
+    lengths = [3, 1, 7, 7, 2, 40]
+    scores = rng.normal(0, 2, (sum(lengths), len(pii.TAGS)))
+    ends = np.cumsum(lengths)
+    want = [t for n, end in zip(lengths, ends, strict=True) for t in plain_path(tagger, scores[end - n : end])]
+    assert tagger.best_paths(scores, np.array(lengths)).tolist() == want
+
+
+def test_one_path_over_all_windows(monkeypatch):
+    """The stretch's tags are the best path over its stitched scores, seams included, and other texts don't change it."""
+    tagger, seen = pii.trained(), []
+    monkeypatch.setattr(pii, "spans_in", lambda tags, text, base: seen.append((text, base, tags.tolist())) or [])
+    texts = ["call 555 " * 60, "é" * 500, "x" * 300 + "7" + "y" * 400 + "me (at) b.de", "", "1"]
+    pii.decode(tagger, texts, rows=3)
+    lap = (pii.WINDOW - pii.STRIDE) // 2
+    assert [(t, len(tags)) for t, _, tags in seen if t == texts[0] or t == "1"] == [(texts[0], len(texts[0])), ("1", 1)] and not any(t == texts[1] for t, _, _ in seen)
+    for text, base, tags in seen:
+        scores = np.zeros((len(tags), len(pii.TAGS)))
+        starts = range(base, base + max(len(tags) - pii.WINDOW, 0) + pii.STRIDE, pii.STRIDE)
+        for s in starts:
+            ids = np.full((1, pii.WINDOW), pii.PAD)
+            own = pii.classes_of(text)[s : s + pii.WINDOW]
+            ids[0, : len(own)] = own
+            part = tagger.emissions(ids)[0][: len(own)].astype(np.float32)
+            a = 0 if s == base else lap
+            scores[s - base + a : s - base + len(part)] = part[a : len(tags) - (s - base)]
+        assert plain_path(tagger, scores) == tags
+
+
 def test_tagger_on_held_out_spans():
     tagger, held = pii.trained(), pii.labelled_spans(150, seed=77)
     hit = miss = wrong = 0
