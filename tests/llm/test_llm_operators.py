@@ -79,6 +79,30 @@ def test_shards(spark, table, n):
         assert sorted(got["size"]) == sorted(len((t or "").encode()) + 8 for t in texts)
 
 
+def test_shards_by_brute_force(spark, table):
+    """Every row's place, worked out from whole strings: sources that share a long beginning are told apart."""
+    rng = random.Random(8)
+    rows = [(i, None if i % 17 == 0 else prose(rng, rng.randrange(1, 40)), None if i % 13 == 0 else rng.choice(["de", "en", "fr"]), None if i % 11 == 0 else f"https://www.example.org/{rng.randrange(9)}") for i in range(300)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    size = [len((t or "").encode()) + 8 for _, t, _, _ in rows]
+    columns = []
+    for values in ([r[3] for r in rows], [r[2] for r in rows], size):
+        place = {v: k for k, v in enumerate(sorted({v for v in values if v is not None}))}
+        columns.append([-1 if v is None else v if isinstance(v, int) else place[v] for v in values])
+    cells = []
+    for values in columns:
+        ordered = sorted(values)
+        bounds = sorted({ordered[max(0, -(-k * len(ordered) // 32) - 1)] for k in range(1, 32)})
+        cells.append([sum(b <= v for b in bounds) * 32 // (len(bounds) + 1) for v in values])
+    curve = sharding.hilbert_index(np.array(cells).T, 5)
+    crc = [zlib.crc32((t or "").encode()) for _, t, _, _ in rows]
+    order = sorted(range(len(rows)), key=lambda i: (curve[i], rows[i][0], crc[i]))
+    want = sorted((rows[i][0], n // 25, n % 25) for n, i in enumerate(order))
+    assert sorted((r.doc_id, r.shard, r.slot) for r in sharding.hilbert_shards(df).collect()) == want
+    held = [{rows[i][3] for i in order[s : s + 25]} for s in range(0, len(rows), 25)]
+    assert np.mean([len(h) for h in held]) < 4  # of ten
+
+
 def test_shard_files(spark, table, tmp_path):
     docs = table([prose(random.Random(i), 9) for i in range(60)])
     sharding.write_shards(docs, str(tmp_path / "out"), 4)
