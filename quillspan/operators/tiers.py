@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +35,18 @@ def spread(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
 
     Places are ``i * (size - 1) / (n - 1)`` rounded half to even, the last one pinned to the end; one place is the first row.
     """
-    sized = df.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    # rows are counted by the first column of the order; only the rows of the values that hold a wanted place are numbered
+    keys = [*by, order[0]]
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(order[0]))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_from", upto - F.col("_c")).withColumn("_size", F.sum("_c").over(Window.partitionBy(*by)))
     step = (F.col("_size") - 1) / F.lit(float(max(n - 1, 1)))
     places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when((i == n - 1) & F.lit(n > 1), F.col("_size") - 1).otherwise(F.rint(i * step).cast("bigint")))
-    return sized.where((F.col("_size") <= n) | F.array_contains(places, F.col("_at"))).drop("_at", "_size")
+    inside = F.filter(F.transform(places, lambda p: p - F.col("_from")), lambda p: (p >= 0) & (p < F.col("_c")))
+    wanted = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_size") <= n).alias("_all"), inside.alias("_places")).where(F.col("_all") | (F.size("_places") > 0))
+    same = reduce(and_, [df[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    met = df.join(wanted, same).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    return met.where(F.col("_all") | F.array_contains("_places", F.col("_at").cast("bigint"))).select(df.columns)
 
 
 def tier_summary(df: DataFrame, by: list[str]) -> DataFrame:

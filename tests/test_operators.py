@@ -167,6 +167,14 @@ def test_spread_keeps_both_ends(spark):
     assert tiers.spread(df.limit(7), ["g"], ["n"], 20).count() == 7 and tiers.spread(df, ["g"], ["n"], 1).collect()[0].n == 1025
 
 
+def test_spread_over_repeats_and_nulls(spark):
+    values = [None, None, 3, 3, 3, 3, 5, 7, 7, 9, 9, 9, 9, 9, 9, 11]
+    rows = [(g, v, i) for g in (None, "a") for i, v in enumerate(values)] + [("few", 1, 0), ("few", None, 1)]
+    got = tiers.spread(spark.createDataFrame(rows, "g string, n int, i int").repartition(5), ["g"], ["n", "i"], 4).collect()
+    places = [0, 5, 10, 15]
+    assert sorted((r.g or "", r.i) for r in got) == sorted([("", i) for i in places] + [("a", i) for i in places] + [("few", 0), ("few", 1)])
+
+
 def test_projection_and_exponents_of_the_logged_runs(spark):
     counts = {"vihallu": (6461, 530, 6, 3), "isedsc01": (6188, 17770, 11931, 480), "viwikifc": (20102, 817, 0, 0), "vifactcheck": (705, 3546, 2785, 196)}
     hist = spark.createDataFrame([(c, t, n) for c, ns in counts.items() for t, n in enumerate(ns)], "corpus string, tier int, n_samples bigint")
