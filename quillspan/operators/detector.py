@@ -1,11 +1,12 @@
-"""Linear detectors on feature arrays, with balanced class weights and a cost-based threshold."""
+"""Detectors on feature arrays, with balanced class weights, fitted calibration and a cost-based threshold."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def fit(df: DataFrame, features: str = "features", label: str = "label", kind: str = "logistic_regression", balanced: bool = True, max_iter: int = 50) -> PipelineModel:
+    """``lightgbm`` stands for boosted trees over binned features; Spark's own, one class against the rest, take the library's place."""
     rows = df.withColumn("_vector", array_to_vector(features))
     rows = balanced_weights(rows, label) if balanced else rows.withColumn("weight", F.lit(1.0))
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep")
@@ -26,6 +28,8 @@ def fit(df: DataFrame, features: str = "features", label: str = "label", kind: s
         model = LogisticRegression(family="multinomial", featuresCol="_vector", labelCol="_y", weightCol="weight", maxIter=max_iter)
     elif kind == "linear_svc":
         model = OneVsRest(classifier=LinearSVC(maxIter=max_iter), featuresCol="_vector", labelCol="_y", weightCol="weight")
+    elif kind == "lightgbm":
+        model = OneVsRest(classifier=GBTClassifier(maxIter=max_iter, seed=0), featuresCol="_vector", labelCol="_y", weightCol="weight")
     else:
         raise ValueError(f"unknown detector {kind}")
     return Pipeline(stages=[index, model]).fit(rows)
@@ -58,6 +62,20 @@ def calibrate(df: DataFrame, score: str, truth: str, bins: int = 10) -> DataFram
     return df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(truth).cast("int")).alias("rate"))
 
 
+def fit_calibrator(df: DataFrame, score: str, truth: str, steps: int = 10_000) -> IsotonicRegressionModel:
+    """Isotonic map from scores to observed rates, over at most ``steps`` + 1 steps of the score so that its size is bounded; rows with a null are left out."""
+    usable = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull())
+    step = F.floor(F.col(score) * steps)
+    rates = usable.groupBy(step).agg(F.avg(score).alias("_score"), F.avg(F.col(truth).cast("int")).alias("_rate"), F.count(F.lit(1)).cast("double").alias("_n"))
+    return IsotonicRegression(featuresCol="_score", labelCol="_rate", weightCol="_n").fit(rates)
+
+
+def calibrated(model: IsotonicRegressionModel, df: DataFrame, score: str, out: str = "calibrated") -> DataFrame:
+    """Adds ``out``, the rate between the fitted steps on both sides of the score; a null score gives null."""
+    shown = model.copy().setFeaturesCol("_score").setPredictionCol("_rate").transform(df.withColumn("_score", F.coalesce(score, F.lit(0.0))))
+    return shown.withColumn(out, F.when(F.col(score).isNotNull(), F.col("_rate"))).drop("_score", "_rate")
+
+
 def cost_threshold(df: DataFrame, score: str, truth: str, cost_fp: float = 1.0, cost_fn: float = 1.0, steps: int = 100) -> DataFrame:
     """Threshold of a grid with the least cost of errors (the lower one on ties): ``threshold``, ``cost``."""
     at = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i")

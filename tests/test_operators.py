@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.operators import audit, chunking, features, lookback, metrics, retrieval, runlog, schema, split, tiers
+from quillspan.operators import audit, chunking, detector, features, lookback, metrics, retrieval, runlog, schema, split, tiers
 
 
 def sample(spark, **changes):
@@ -303,3 +303,45 @@ def test_drift_skips_layers_with_nan(spark):
     b = spark.createDataFrame([(1, 0, 0.6), (2, 0, 0.5), (1, 1, 0.2), (2, 1, 0.9)], "t int, layer int, v double")
     r = {x.layer: x for x in lookback.layer_drift(a.withColumn("k", F.col("t") * 10 + F.col("layer")), b.withColumn("k", F.col("t") * 10 + F.col("layer")), ["k"], "layer", "v").collect()}
     assert r[1].n_nan == 1 and math.isclose(r[0].max_diff, 0.1) and math.isclose(r[1].mean_diff, 0.8)
+
+
+@pytest.mark.parametrize("kind", ["logistic_regression", "linear_svc", "lightgbm"])
+def test_detectors_learn_and_keep(spark, tmp_path, kind):
+    rng = random.Random(3)
+    rows = [([c + rng.gauss(0, 0.2), -c + rng.gauss(0, 0.2)], "abc"[c]) for c in (0, 0, 0, 1, 2) for _ in range(20)]
+    df = spark.createDataFrame(rows, "features array<double>, label string")
+    model = detector.fit(df, kind=kind, max_iter=10)
+    got = detector.predict(model, df)
+    assert got.where("predicted = label").count() >= (66 if kind == "linear_svc" else 90)
+    detector.save(model, str(tmp_path / kind))
+    again = detector.predict(detector.load(str(tmp_path / kind)), df)
+    assert [r.predicted for r in again.collect()] == [r.predicted for r in got.collect()]
+
+
+def test_unknown_detector(spark):
+    with pytest.raises(ValueError):
+        detector.fit(spark.createDataFrame([([0.0], "a"), ([1.0], "b")], "features array<double>, label string"), kind="forest")
+
+
+def test_calibration_is_monotone_and_fits(spark):
+    rng = random.Random(4)
+    rows = [(s, rng.random() < s * s) for s in (rng.random() for _ in range(4000))] + [(None, True), (0.5, None)]
+    df = spark.createDataFrame(rows, "s double, y boolean")
+    got = detector.calibrated(detector.fit_calibrator(df, "s", "y"), df, "s").collect()
+    seen = sorted((r.s, r.calibrated) for r in got if r.s is not None)
+    assert all(a[1] <= b[1] + 1e-12 for a, b in zip(seen, seen[1:])) and sum(abs(c - s * s) for s, c in seen) / len(seen) < 0.04
+    assert [r.calibrated for r in got if r.s is None] == [None]
+
+
+def test_calibration_bins_and_threshold(spark):
+    rows = [(0.1, False)] * 6 + [(0.4, True)] * 2 + [(0.45, False)] * 3 + [(0.9, True)] * 5 + [(1.0, True)]
+    df = spark.createDataFrame(rows, "s double, y boolean")
+    bins = {r.bin: (r.n, round(r.rate, 6)) for r in detector.calibrate(df, "s", "y", 2).collect()}
+    assert bins == {0: (11, round(2 / 11, 6)), 1: (6, 1.0)}
+
+    def cost(t, fp, fn):
+        return sum(fp if not y and s >= t else fn if y and s < t else 0 for s, y in rows)
+
+    for fp, fn in ((1, 1), (1, 10), (10, 1)):
+        r = detector.cost_threshold(df, "s", "y", fp, fn, 20).collect()[0]
+        assert r.cost == min(cost(i / 20, fp, fn) for i in range(21)) == cost(r.threshold, fp, fn)
