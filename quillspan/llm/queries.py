@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import oracles, toxicity
+from .collocations import collocations
 from .decontamination import overlaps
 from .fuzzy_lines import line_report
 from .packing import pack
@@ -78,6 +79,10 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_pii_tagger": op2_pii_tagger,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_simhash_golay": op10_simhash_golay,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_phrase_collocations": oracles.COLLOCATIONS}
