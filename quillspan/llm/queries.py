@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles, toxicity
 from .collocations import collocations
+from .conversation_trie import prefix_trie
 from .decontamination import overlaps
 from .fuzzy_lines import line_report
 from .packing import pack
@@ -79,6 +80,11 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie(_table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -94,7 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_simhash_golay": op10_simhash_golay,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
-ORACLES: dict[str, str] = {"op13_phrase_collocations": oracles.COLLOCATIONS}
+ORACLES: dict[str, str] = {"op11_conversation_trie": oracles.CONVERSATION_TRIE, "op13_phrase_collocations": oracles.COLLOCATIONS}
