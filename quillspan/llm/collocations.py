@@ -4,7 +4,8 @@ A phrase of k words is named by the ids of its first and of its last k - 1 words
 neighbouring ids that may be frequent become pairs, the pairs are counted over the whole corpus, and those that reach the
 bound get a row with their id and both parents. A pair can't be more frequent than its parents, so nothing frequent is missed.
 Which ids are frequent reaches the tasks as a bit filter of fixed size: where it says yes in error, pairs are counted that
-then miss the bound, so results don't depend on its size. The parents are the pointers by which the counts of both parts of
+then miss the bound, so results don't depend on its size. Longer phrases are looked for only where frequent word pairs stand
+side by side; these runs of pair ids are written once. The parents are the pointers by which the counts of both parts of
 each cut and of longer phrases are looked up.
 """
 
@@ -29,6 +30,7 @@ _PAIRS = 1_000_000  # pairs likewise
 _BREAK = b"\xff"  # no byte of UTF-8: ends a piece
 # exact: products of two counts pass 64 bits, 38 decimal digits hold counts up to 10 ** 17
 SCORE = "cast(1000 as decimal(38,0)) * cast(a as decimal(38,0)) * cast(n as decimal(38,0)) div (cast(l as decimal(38,0)) * cast(r as decimal(38,0)))"
+_PAIR = "id bigint, left bigint, right bigint, a bigint"
 _TABLE = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 
 
@@ -92,34 +94,77 @@ def _ids(lang: str, known: WordIds, words: list[bytes]) -> np.ndarray:
     return pair_ids(np.uint64(known[lang.encode()]), known.of(words))
 
 
-def _pair_counter(level: int, filters):
-    """A function for tasks: counts of the neighbouring (level - 1)-word phrases that the filters let through."""
+class _Pairs:
+    """Pairs of neighbouring ids, counted in the task before they are handed on."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, *pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(pairs)
+        if sum(len(x[0]) for x in self.held) > _PAIRS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            name, left, right = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.held.clear()
+            name, first, n = np.unique(name, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (name, left[first], right[first], n)], ["id", "left", "right", "a"])
+
+
+def _word_pairs(batches: Iterator[pa.RecordBatch], frequent: BitFilter) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For every stretch: which neighbours may both be frequent words, and the pairs' ids, left and right parts."""
+    known = WordIds()
+    for batch in batches:
+        for lang, words in _by_lang(batch):
+            name = _ids(lang, known, words)
+            good = frequent.has(name) & (name != _ids(lang, known, [_BREAK])[0])
+            yield good[:-1] & good[1:], pair_ids(name[:-1], name[1:]), name[:-1], name[1:]
+
+
+def _count_word_pairs(filters):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = _Pairs()
+        for good, name, left, right in _word_pairs(batches, filters.value[0]):
+            yield from pairs.add(name[good], left[good], right[good])
+        yield from pairs.flush()
+
+    return run
+
+
+def _pair_runs(filters):
+    """The ids of frequent word pairs that stand beside another, in order; 0 ends a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent: list[BitFilter] = filters.value
-        known = WordIds()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        words, pairs = filters.value
+        for good, name, _, _ in _word_pairs(batches, words):
+            good &= pairs.has(name)
+            beside = np.concatenate(([False], good[:-1] & good[1:], [False]))
+            kept = good & (beside[:-1] | beside[1:])
+            after = np.concatenate(([False], kept[:-1]))
+            ids = np.where(kept, name, np.uint64(0))[kept | after]
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array([ids.view(np.int64)], pa.list_(pa.int64()))], ["ids"])
+
+    return run
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                name, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
-                held.clear()
-                name, first, n = np.unique(name, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (name, left[first], right[first], n)], ["id", "left", "right", "a"])
 
+def _count_phrase_pairs(level: int, filters):
+    """Neighbouring (level - 1)-word phrases of the runs, named up from the word pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = _Pairs()
         for batch in batches:
-            for lang, words in _by_lang(batch):
-                name = _ids(lang, known, words)
-                good = frequent[0].has(name) & (name != _ids(lang, known, [_BREAK])[0])
-                for k in range(2, level + 1):
-                    pair, left, right = good[:-1] & good[1:], name[:-1], name[1:]
+            for ids in batch.column(0):
+                name = ids.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                good = name != 0
+                for k in range(3, level + 1):
+                    both, left, right = good[:-1] & good[1:], name[:-1], name[1:]
                     name = pair_ids(left, right)
-                    good = pair & frequent[k - 1].has(name) if k < level else pair
-                if good.any():
-                    held.append((name[good], left[good], right[good]))
-                if sum(len(x[0]) for x in held) > _PAIRS:
-                    yield from flush()
-        yield from flush()
+                    good = both & filters.value[k - 1].has(name) if k < level else both
+                yield from pairs.add(name[good], left[good], right[good])
+        yield from pairs.flush()
 
     return run
 
@@ -141,12 +186,16 @@ def phrase_names(docs: DataFrame, least: int = 100, longest: int = LONGEST, text
     words = rows.mapInArrow(_count_words, "lang string, word string, id bigint, a bigint")
     words = staged(words.groupBy("lang", "word", "id").agg(F.sum("a").alias("a")), "words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    names, filters = [words.where(F.col("a") >= least)], []
-    sc = docs.sparkSession.sparkContext
+    names, filters, runs = [words.where(F.col("a") >= least)], [], None
     for level in range(2, longest + 1):
         filters.append(bit_filter(names[-1], filter_bits))
-        shared = sc.broadcast(filters)
-        pairs = rows.mapInArrow(_pair_counter(level, shared), "id bigint, left bigint, right bigint, a bigint")
+        shared = docs.sparkSession.sparkContext.broadcast(list(filters))
+        if level == 2:
+            pairs = rows.mapInArrow(_count_word_pairs(shared), _PAIR)
+        else:
+            if runs is None:
+                runs = staged(rows.mapInArrow(_pair_runs(shared), "ids array<bigint>"), "pair-runs")
+            pairs = runs.mapInArrow(_count_phrase_pairs(level, shared), _PAIR)
         counted = pairs.groupBy("id", "left", "right").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
         names.append(staged(counted, f"phrases-{level}"))
         shared.unpersist()
