@@ -53,3 +53,16 @@ SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n AS n_co
 FROM nodes n JOIN under u ON u.node = n.node AND u.d = n.d LEFT JOIN kids k ON k.node = n.node AND k.d = n.d
 LEFT JOIN nodes p ON p.d = n.d - 1 AND p.node = n.node[1:n.d - 1]
 """
+
+REPEATED_PASSAGES = r"""
+WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, ws FROM split),
+windows AS (SELECT rid, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM docs WHERE len(ws) >= 35)),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, i + j AS p FROM windows JOIN again USING (h), (SELECT unnest(range(0, 35)) AS j)),
+removed AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid),
+words AS (SELECT rid, p, ws[p] AS w FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS p FROM docs)),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN removed r USING (rid) LEFT JOIN kept USING (rid)
+"""

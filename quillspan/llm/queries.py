@@ -18,6 +18,7 @@ from .quality import quality_verdicts
 from .secrets import secret_scan
 from .sharding import hilbert_shards
 from .simhash_golay import near_duplicate_classes
+from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 
 
@@ -85,6 +86,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -101,7 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_simhash_golay": op10_simhash_golay,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
-ORACLES: dict[str, str] = {"op11_conversation_trie": oracles.CONVERSATION_TRIE, "op13_phrase_collocations": oracles.COLLOCATIONS}
+ORACLES: dict[str, str] = {"op11_conversation_trie": oracles.CONVERSATION_TRIE, "op12_substring_dedup": oracles.REPEATED_PASSAGES, "op13_phrase_collocations": oracles.COLLOCATIONS}
