@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .common import fresh, staged, text_or_empty, with_row_key
@@ -274,7 +275,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text", gr
     return runs.select("key", "rid").join(by_text, "rid").select("key", "spans")
 
 
-@pandas_udf("struct<n_words bigint, n_removed bigint, kept string>")
+_REPEATS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+
+
+@pandas_udf(_REPEATS)
 def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     rows = []
     for text, at in zip(texts, spans, strict=True):
