@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.operators.containment import PART_CHARS, pattern_hits
+
 # Columns in their order and the closed domains.
 STRINGS = ("sample_id", "dataset", "split", "context", "context_id", "question", "response", "label", "label_original", "evidence")
 COLUMNS = (*STRINGS, "evidence_start", "evidence_end", "response_is_generated", "meta")
@@ -98,14 +100,14 @@ def check_evidence_rate(df: DataFrame, low: float = 0.55, high: float = 0.65) ->
         raise ValueError(f"located evidence rate {rate} outside [{low}, {high}]")
 
 
-def passages_in(docs: DataFrame, passages: DataFrame, doc_text: str = "text", passage_text: str = "passage", seed_words: int = 4, short_rows: int = 10_000) -> DataFrame:
+def passages_in(docs: DataFrame, passages: DataFrame, doc_text: str = "text", passage_text: str = "passage", seed_words: int = 4, part_chars: int = PART_CHARS) -> DataFrame:
     """Rows of both sides where the document holds the passage exactly (case and spaces too).
 
     A contained passage's inner words are whole words of the document in a row, so the first ``seed_words`` of them are a
-    key both sides share: an equi-join on their hash. Only hashes of texts and keys are joined; the texts meet once for each
-    pair of equal hashes, and the containment is verified. Passages with fewer inner words have no key and meet all
-    documents, broadcast if they are ``short_rows`` or fewer. Rows that repeat stay repeated; null and empty passages are in
-    none, and null texts hold none.
+    key both sides share: an equi-join on their hash. Passages with fewer inner words have no key; they stand in automata of
+    at most ``part_chars`` characters, through which the texts stream. Only hashes of texts and keys are joined; the texts meet
+    once for each pair of hashes, and the containment is verified. Rows that repeat stay repeated; null and empty passages are
+    in none, and null texts hold none.
     """
     ws = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
     split = lambda c: F.array_remove(F.split(c, ws), "")
@@ -115,12 +117,8 @@ def passages_in(docs: DataFrame, passages: DataFrame, doc_text: str = "text", pa
     seeds = keyed.where(F.col("_inner") >= seed_words).select(key(F.col("_w"), 1 - F.col("_lead")).alias("_key"), "_ph").distinct()
     rows = docs.select(F.xxhash64(doc_text).alias("_dh"), split(F.col(doc_text)).alias("_w")).where(F.size("_w") >= seed_words)
     spots = rows.select("_dh", "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - seed_words)).alias("_at")).select("_dh", key(F.col("_w"), F.col("_at")).alias("_key"))
-    near = spots.join(seeds, "_key").select("_dh", "_ph").distinct()
-    holds = F.col(doc_text).contains(F.col(passage_text))
+    near = spots.join(seeds, "_key").select("_dh", "_ph")
+    short = pattern_hits(docs, keyed.where(F.col("_inner") < seed_words), doc_text, passage_text, part_chars)
+    near = near.unionByName(short.select(F.col("text_hash").alias("_dh"), F.col("pattern_hash").alias("_ph"))).distinct()
     met = near.join(passages.withColumn("_ph", F.xxhash64(passage_text)), "_ph").join(docs.withColumn("_dh", F.xxhash64(doc_text)), "_dh")
-    found = met.where(holds).select(*docs.columns, *passages.columns)
-    short = keyed.where(F.col("_inner") < seed_words).select(*passages.columns)
-    n = short.limit(short_rows + 1).count()
-    if not n:
-        return found
-    return found.unionByName(docs.join(F.broadcast(short) if n <= short_rows else short, holds))
+    return met.where(F.col(doc_text).contains(F.col(passage_text))).select(*docs.columns, *passages.columns)

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.operators import audit, chunking, detector, features, lookback, metrics, retrieval, runlog, schema, split, tiers
+from quillspan.operators import audit, chunking, containment, detector, features, lookback, metrics, retrieval, runlog, schema, split, tiers
 
 
 def sample(spark, **changes):
@@ -60,6 +60,25 @@ def test_passages_match_plain_containment(spark):
     assert sorted((r.doc_id, r.item) for r in got.collect()) == sorted((d, p) for d, t in docs if t for p, x in passages if x in t)
 
 
+def test_many_short_passages_meet_texts_in_automata(spark):
+    """100,000 of them, in parts, without a nested loop in the plan."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc đ😀") for _ in range(200)) for _ in range(30)] + [None, "", "a b", "x" * 5000 + "y" * 60]
+    short = sorted({"".join(rng.choice("abc đ😀") for _ in range(rng.randint(1, 9))) for _ in range(130_000)})[:99_990]
+    short += ["", None, "y" * 59, "x" * 50 + "y", "x" * 60 + "z", "a b", "zz", " ", "a" * 4000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    passages = spark.createDataFrame(list(enumerate(short)), "item int, passage string")
+    got = schema.passages_in(docs, passages, part_chars=300_000)
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sorted((r.doc_id, r.item) for r in got.collect()) == sorted((d, i) for d, t in enumerate(texts) if t for i, p in enumerate(short) if p and p in t)
+
+
+def test_patterns_that_share_a_head():
+    automaton = containment.build([(1, "abcd"), (2, "abce"), (3, "ab"), (4, "abc"), (5, "d")], head=3)
+    assert containment.held_by(automaton, "zabceab", head=3) == {2, 3, 4} and containment.held_by(automaton, "abcd", head=3) == {1, 3, 4, 5}
+
+
 def plain_sentences(text):
     out, at = [], 0
     for piece in re.split(r"(?<=[.!?])\s+", text):
