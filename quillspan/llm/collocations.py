@@ -5,7 +5,7 @@ neighbouring ids that may be frequent become pairs, the pairs are counted over t
 bound get a row with their id and both parents. A pair can't be more frequent than its parents, so nothing frequent is missed.
 Which ids are frequent reaches the tasks as a bit filter of fixed size: where it says yes in error, pairs are counted that
 then miss the bound, so results don't depend on its size. Longer phrases are looked for only where frequent word pairs stand
-side by side; these runs of pair ids are written once. The parents are the pointers by which the counts of both parts of
+side by side; these runs of pair ids are written once, and a sketch of their phrases' counts spares most rare ones. The parents are the pointers by which the counts of both parts of
 each cut and of longer phrases are looked up.
 """
 
@@ -15,9 +15,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from .common import staged
 from .grams import BitFilter, WordIds, pair_ids
@@ -27,10 +30,11 @@ FILTER_BITS = 26  # 8 MB
 _STRETCH = 1 << 20  # bytes of text that a task cuts into words at once
 _FLUSH = 200_000  # distinct words that a task counts before it hands them on
 _PAIRS = 1_000_000  # pairs likewise
+_SKETCH_BITS, _PLACES = 22, 1 << 16  # places of the sketch, and of one of its parts
 _BREAK = b"\xff"  # no byte of UTF-8: ends a piece
 # exact: products of two counts pass 64 bits, 38 decimal digits hold counts up to 10 ** 17
 SCORE = "cast(1000 as decimal(38,0)) * cast(a as decimal(38,0)) * cast(n as decimal(38,0)) div (cast(l as decimal(38,0)) * cast(r as decimal(38,0)))"
-_PAIR = "id bigint, left bigint, right bigint, a bigint"
+_PAIR = "left bigint, right bigint, a bigint"
 _TABLE = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 
 
@@ -109,8 +113,8 @@ class _Pairs:
         if self.held:
             name, left, right = (np.concatenate(x) for x in zip(*self.held, strict=True))
             self.held.clear()
-            name, first, n = np.unique(name, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (name, left[first], right[first], n)], ["id", "left", "right", "a"])
+            _, first, n = np.unique(name, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (left[first], right[first], n)], ["left", "right", "a"])
 
 
 def _word_pairs(batches: Iterator[pa.RecordBatch], frequent: BitFilter) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -150,25 +154,80 @@ def _pair_runs(filters):
     return run
 
 
-def _count_phrase_pairs(level: int, filters):
-    """Neighbouring (level - 1)-word phrases of the runs, named up from the word pairs."""
+def _phrase_pairs(batches: Iterator[pa.RecordBatch], level: int, frequent: list[BitFilter]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Neighbouring (level - 1)-word phrases of the runs, named up from the word pairs: ids, left and right parts."""
+    for batch in batches:
+        for ids in batch.column(0):
+            name = ids.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            good = name != 0
+            for k in range(3, level + 1):
+                both, left, right = good[:-1] & good[1:], name[:-1], name[1:]
+                name = pair_ids(left, right)
+                good = both & frequent[k - 1].has(name) if k < level else both
+            yield name[good], left[good], right[good]
+
+
+def _sketch(level: int, filters, bits: int):
+    """How often ids fall into each of 2 ** bits places, two places an id; counts beyond 255 stay 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _Pairs()
+        size = 1 << bits
+        counts = np.zeros(size, np.int64)
+        for name, _, _ in _phrase_pairs(batches, level, filters.value):
+            for at in BitFilter.places(name, bits):
+                counts += np.bincount(at.astype(np.int64), minlength=size)
+        parts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, _PLACES)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["part", "counts"])
+
+    return run
+
+
+def _reached(least: int):
+    """Sketches, in the order of their parts, added up: a bit for each place with ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, np.zeros(_PLACES, np.int64)
+
+        def bits() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(total >= min(least, 255), bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
         for batch in batches:
-            for ids in batch.column(0):
-                name = ids.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                good = name != 0
-                for k in range(3, level + 1):
-                    both, left, right = good[:-1] & good[1:], name[:-1], name[1:]
-                    name = pair_ids(left, right)
-                    good = both & filters.value[k - 1].has(name) if k < level else both
-                yield from pairs.add(name[good], left[good], right[good])
+            for own, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if own != part:
+                    if part is not None:
+                        yield bits()
+                    part, total[:] = own, 0
+                total += np.frombuffer(counts.as_py(), np.uint8)
+        if part is not None:
+            yield bits()
+
+    return run
+
+
+def _count_phrase_pairs(level: int, filters, likely):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = _Pairs()
+        for name, left, right in _phrase_pairs(batches, level, filters.value):
+            good = likely.value.has(name)
+            yield from pairs.add(name[good], left[good], right[good])
         yield from pairs.flush()
 
     return run
 
 
+@pandas_udf(T.LongType())
+def _pair_id(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series(pair_ids(left.to_numpy(np.int64).view(np.uint64), right.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+
+def likely_pairs(runs: DataFrame, level: int, filters, least: int) -> BitFilter:
+    """Phrases of the runs that may occur ``least`` times: a sketch of fixed size counts too much, never too little."""
+    parts = runs.mapInArrow(_sketch(level, filters, _SKETCH_BITS), "part int, counts binary")
+    got = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_reached(least), "part int, bits binary").toArrow()
+    return BitFilter.of_parts(_SKETCH_BITS, dict(zip(got["part"].to_pylist(), got["bits"].to_pylist(), strict=True)), _PLACES // 8)
+
+
 def bit_filter(ids: DataFrame, bits: int) -> BitFilter:
     """The set of ``id`` as bits, or-ed together on the executors; what the driver gets is bounded by ``bits``, not by the ids."""
     at = F.explode(F.array(F.col("id").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned("id", 32).bitwiseAND(F.lit((1 << bits) - 1)))).alias("at")
@@ -195,8 +254,9 @@ def phrase_names(docs: DataFrame, least: int = 100, longest: int = LONGEST, text
         else:
             if runs is None:
                 runs = staged(rows.mapInArrow(_pair_runs(shared), "ids array<bigint>"), "pair-runs")
-            pairs = runs.mapInArrow(_count_phrase_pairs(level, shared), _PAIR)
-        counted = pairs.groupBy("id", "left", "right").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+            likely = docs.sparkSession.sparkContext.broadcast(likely_pairs(runs, level, shared, least))
+            pairs = runs.mapInArrow(_count_phrase_pairs(level, shared, likely), _PAIR)
+        counted = pairs.groupBy("left", "right").agg(F.sum("a").alias("a")).where(F.col("a") >= least).select(_pair_id("left", "right").alias("id"), "left", "right", "a")
         names.append(staged(counted, f"phrases-{level}"))
         shared.unpersist()
     return totals, names

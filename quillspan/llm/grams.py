@@ -50,7 +50,7 @@ class BitFilter:
     """A set of ids as 2 ** ``bits`` bits and two probes: its size is fixed, it may say yes in error, never no."""
 
     def __init__(self, bits: int, words: np.ndarray, values: np.ndarray) -> None:
-        self.mask = np.uint64((1 << bits) - 1)
+        self.bits = bits
         table = np.zeros(1 << (bits - 6), np.uint64)
         table[words] = values
         self.table = table.view(np.uint8)
@@ -58,8 +58,22 @@ class BitFilter:
     def __contains__(self, value: int) -> bool:
         return bool(self.has(np.array([value], np.uint64))[0])
 
+    @staticmethod
+    def of_parts(bits: int, parts: dict[int, bytes], size: int) -> BitFilter:
+        """From its bytes in parts of one size; absent ones are empty."""
+        made = BitFilter(bits, np.array([], np.int64), np.array([], np.uint64))
+        for i, part in parts.items():
+            made.table[i * size : (i + 1) * size] = np.frombuffer(part, np.uint8)
+        return made
+
+    @staticmethod
+    def places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64((1 << bits) - 1)
+        return ids & mask, (ids >> _S32) & mask
+
     def _probe(self, at: np.ndarray) -> np.ndarray:
         return (self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
 
     def has(self, ids: np.ndarray) -> np.ndarray:
-        return (self._probe(ids & self.mask) & self._probe((ids >> _S32) & self.mask)).astype(bool)
+        low, high = self.places(ids, self.bits)
+        return (self._probe(low) & self._probe(high)).astype(bool)
