@@ -267,6 +267,50 @@ def test_bm25_prefers_the_rare_term(spark):
     assert [r.p for r in got] == [1, 2]
 
 
+def plain_bm25(queries, passages, k, k1=1.5, b=0.75):
+    bags = {p: t.lower().split() for p, t in passages}
+    n, mean = len(bags), sum(map(len, bags.values())) / max(len(bags), 1)
+    idf = lambda t: (lambda d: math.log(1 + (n - d + 0.5) / (d + 0.5)))(sum(t in w for w in bags.values()))
+    out = []
+    for q, text in queries:
+        terms = set(text.lower().split())
+        score = {p: round(sum(idf(t) * w.count(t) * (k1 + 1) / (w.count(t) + k1 * (1 - b + b * len(w) / mean)) for t in terms if t in w), 6) for p, w in bags.items() if terms & set(w)}
+        out += [(q, p, score[p], i) for i, p in enumerate(sorted(score, key=lambda p: (-score[p], p))[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("seed", "block"), [(0, 1), (1, 3), (2, 128)])
+def test_bm25_against_every_pair(spark, seed, block):
+    rng = random.Random(seed)
+    words = ["the"] * 12 + ["of"] * 6 + [f"w{i}" for i in range(40)]
+    passages = [(p, " ".join(rng.choice(words) for _ in range(rng.randint(1, 25)))) for p in rng.sample(range(-50, 200), 80)] + [(900, ""), (901, "THE the"), (902, "the THE")]
+    queries = [(q, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for q in range(60)] + [(70, "the"), (71, "absent"), (72, "the of")]
+    got = retrieval.bm25(spark.createDataFrame(queries, "q int, t string"), spark.createDataFrame(passages, "p int, pt string"), "q", "t", "p", "pt", k=4, block=block)
+    rows = sorted(tuple(r) for r in got.select("q", "p", "score", "rank").collect())
+    want = plain_bm25(queries, passages, 4)
+    assert [r[:2] + r[3:] for r in rows] == [r[:2] + r[3:] for r in want] and [r[2] for r in rows] == pytest.approx([r[2] for r in want])
+
+
+def test_bm25_scores_few_blocks(spark):
+    """Passages of a rare term: nearly all blocks are proven useless without being scored."""
+    passages = [(p, f"the common words of passage and {'rare' + str(p // 5) if p % 100 < 10 else 'x' + str(p)}") for p in range(1000)]
+    queries = [(q, f"the words of rare{20 * q}") for q in range(10)]
+    index, _ = retrieval.postings(spark.createDataFrame(passages, "p int, pt string"), "p", "pt", block=8)
+    asked = spark.createDataFrame([(q, t) for q, text in queries for t in text.split()], "q int, term string")
+    left = retrieval.candidate_blocks(asked, index, "q", 3, 6)
+    n_blocks = index.select("block").distinct().count()
+    assert n_blocks > 100 and left.count() < 0.1 * len(queries) * n_blocks
+    # no passage of the block that is left out has the rare term among a query's best
+    assert index.groupBy("term").count().where("term = 'the'").first()["count"] == n_blocks  # the hot term is spread over all blocks
+
+
+def test_bm25_of_nothing(spark):
+    empty = spark.createDataFrame([], "p int, pt string")
+    asked = spark.createDataFrame([(1, "a")], "q int, t string")
+    assert retrieval.bm25(asked, empty, "q", "t", "p", "pt").count() == 0
+    assert retrieval.bm25(asked.limit(0), spark.createDataFrame([(1, "a")], "p int, pt string"), "q", "t", "p", "pt").count() == 0
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("no", "no"), ("no", "intrinsic"), ("intrinsic", "intrinsic"), ("extrinsic", "no")], "t string, p string")
     r = metrics.classification_metrics(df, "t", "p").first()
