@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.operators.quantiles import exact_percentiles, join_groups
+
 EPS = 1e-9
 
 
@@ -102,7 +104,8 @@ def global_drift(a: DataFrame, b: DataFrame, keys: list[str], layer: str, value:
     met = a.select(*keys, layer, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys)
     bad = met.where(F.isnan("_a") | F.isnan("_b")).select(layer).distinct()
     clean = met.join(bad, layer, "left_anti").withColumn("_gap", F.abs(F.col("_a") - F.col("_b")))
-    return clean.agg(F.avg("_gap").alias("mean_diff"), F.percentile("_gap", F.lit(0.99)).alias("p99_diff"), F.max("_gap").alias("max_diff"), F.min_by(layer, F.struct(-F.col("_gap"), F.col(layer))).alias("worst_layer"))
+    rest = clean.agg(F.avg("_gap").alias("mean_diff"), F.max("_gap").alias("max_diff"), F.min_by(layer, F.struct(-F.col("_gap"), F.col(layer))).alias("worst_layer"))
+    return join_groups(rest, exact_percentiles(clean, [], {"p99_diff": ("_gap", 0.99)}), [])
 
 
 def bad_layers(df: DataFrame, sample: str = "sample_id", layers: str = "nonfinite_layers") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import TIER_BOUNDS, clock_ratio, tier_label, tier_of
+from quillspan.operators.quantiles import exact_percentiles, join_groups
 
 OVERHEAD, OVERHEAD_ASKED = 37, 41  # fixed values: tokens of the template without and with a question
 
@@ -51,8 +52,10 @@ def spread(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
 
 def tier_summary(df: DataFrame, by: list[str]) -> DataFrame:
     """Timings by tier; percentiles are exact with linear interpolation."""
-    median = lambda c: F.percentile(c, F.lit(0.5))
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"), F.avg("n_tokens").alias("mean_tokens"), median("end_to_end_ms").alias("median_ms"), F.avg("end_to_end_ms").alias("mean_ms"), F.percentile("end_to_end_ms", F.lit(0.9)).alias("p90_ms"), median("forward_ms").alias("forward_median_ms"), (median("forward_ms") / median("end_to_end_ms")).alias("forward_share"), F.max("peak_vram_mb").alias("peak_vram_mb"), F.avg("n_chunks").alias("mean_chunks"), F.sum(F.col("truncated").cast("bigint")).alias("n_truncated"), F.sum(F.col("nonfinite").cast("bigint")).alias("n_nonfinite"))
+    total = lambda c: F.sum(F.col(c).cast("bigint"))
+    sums = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"), F.avg("n_tokens").alias("mean_tokens"), F.avg("end_to_end_ms").alias("mean_ms"), F.max("peak_vram_mb").alias("peak_vram_mb"), F.avg("n_chunks").alias("mean_chunks"), total("truncated").alias("n_truncated"), total("nonfinite").alias("n_nonfinite"))
+    places = exact_percentiles(df, by, {"median_ms": ("end_to_end_ms", 0.5), "p90_ms": ("end_to_end_ms", 0.9), "forward_median_ms": ("forward_ms", 0.5)})
+    return join_groups(sums, places, by).withColumn("forward_share", F.col("forward_median_ms") / F.col("median_ms"))
 
 
 def project_cost(hist: DataFrame, cost: DataFrame, corpus: str = "corpus", quota_hours: float = 30.0) -> DataFrame:
@@ -77,14 +80,12 @@ def scaling_exponent(summaries: DataFrame, by: list[str], length: str = "mean_to
 def token_stats(df: DataFrame, by: list[str], context_tokens: str, other_tokens: str, words: str, context: str, thresholds: tuple[int, ...] = (2048, 4096)) -> DataFrame:
     """Samples, distinct contexts, tokens a word, percentiles of context and total, and counts over thresholds."""
     ctx, total = F.col(context_tokens), F.col(context_tokens) + F.col(other_tokens)
-    pct = lambda c, p: F.percentile(c, F.lit(p))
-    aggs = [F.count(F.lit(1)).alias("n_samples"), F.countDistinct(context).alias("n_unique_contexts"), (F.sum(ctx) / F.greatest(F.sum(words), F.lit(1))).alias("tokens_per_word")]
-    aggs += [pct(ctx, p).alias(f"ctx_p{int(p * 100)}") for p in (0.5, 0.9, 0.99)] + [F.max(ctx).cast("double").alias("ctx_max")]
-    aggs += [pct(total, p).alias(f"total_p{int(p * 100)}") for p in (0.5, 0.99)] + [F.max(total).cast("double").alias("total_max")]
+    aggs = [F.count(F.lit(1)).alias("n_samples"), F.countDistinct(context).alias("n_unique_contexts"), (F.sum(ctx) / F.greatest(F.sum(words), F.lit(1))).alias("tokens_per_word"), F.max(ctx).cast("double").alias("ctx_max"), F.max(total).cast("double").alias("total_max")]
     for t in thresholds:
         over = (total > t).cast("int")
         aggs += [(F.avg(over) * 100).alias(f"over_{t}"), F.sum(over).cast("bigint").alias(f"n_over_{t}")]
-    return df.groupBy(*by).agg(*aggs)
+    wanted = {f"{name}_p{int(p * 100)}": (c, p) for name, c, ps in (("ctx", ctx, (0.5, 0.9, 0.99)), ("total", total, (0.5, 0.99))) for p in ps}
+    return join_groups(df.groupBy(*by).agg(*aggs), exact_percentiles(df, by, wanted), by)
 
 
 def parse_telemetry(line: Column) -> Column:

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.operators import audit, chunking, containment, detector, features, lookback, metrics, retrieval, runlog, schema, split, tiers
+from quillspan.operators import audit, chunking, containment, detector, features, lookback, metrics, quantiles, retrieval, runlog, schema, split, tiers
 
 
 def sample(spark, **changes):
@@ -194,6 +194,28 @@ def test_spread_over_repeats_and_nulls(spark):
     assert sorted((r.g or "", r.i) for r in got) == sorted([("", i) for i in places] + [("a", i) for i in places] + [("few", 0), ("few", 1)])
 
 
+@pytest.mark.parametrize("by", [["g"], ["g", "h"], []])
+@pytest.mark.parametrize("accuracy", [50, 50_000])
+def test_exact_percentiles(spark, by, accuracy):
+    """A coarse summary brackets the places widely; the values stay exact."""
+    rng = random.Random(accuracy)
+    draw = lambda: rng.choice([1.5, 2.0, None, rng.random() * 100, float(rng.randint(0, 5)), rng.lognormvariate(0, 9), -rng.random()])
+    rows = [(g, n % 2, draw(), rng.random()) for g, size in (("a", 4000), ("b", 37), (None, 500), ("one", 1), ("same", 0)) for n in range(size)]
+    rows += [("same", 1, 7.0, 7.0)] * 3000 + [("none", 0, None, 1.0), ("nothing", 0, None, None), ("two", 1, 1.0, 2.0), ("two", 1, 2.0, 4.0)]
+    df = spark.createDataFrame(rows, "g string, h int, x double, y double")
+    wanted = {f"x{p * 100:.0f}": ("x", p) for p in (0.0, 0.01, 0.5, 0.9, 0.99, 1.0)} | {"y50": ("y", 0.5), "sum25": (F.col("x") + F.col("y"), 0.25)}
+    groups = df.groupBy(*by).agg(*[F.percentile(F.col(c) if isinstance(c, str) else c, F.lit(p)).alias(f"{k}_want") for k, (c, p) in wanted.items()])
+    for r in quantiles.join_groups(groups, quantiles.exact_percentiles(df, by, wanted, accuracy), by).collect():
+        for k in wanted:
+            assert r[k] == (None if r[f"{k}_want"] is None else pytest.approx(r[f"{k}_want"], rel=1e-12)), (r, k)
+
+
+def test_percentiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "g string, x double")
+    assert quantiles.exact_percentiles(empty, ["g"], {"m": ("x", 0.5)}).count() == 0
+    assert quantiles.exact_percentiles(empty, [], {"m": ("x", 0.5)}).first().m is None
+
+
 def test_projection_and_exponents_of_the_logged_runs(spark):
     counts = {"vihallu": (6461, 530, 6, 3), "isedsc01": (6188, 17770, 11931, 480), "viwikifc": (20102, 817, 0, 0), "vifactcheck": (705, 3546, 2785, 196)}
     hist = spark.createDataFrame([(c, t, n) for c, ns in counts.items() for t, n in enumerate(ns)], "corpus string, tier int, n_samples bigint")
