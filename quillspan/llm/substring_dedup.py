@@ -1,7 +1,7 @@
 """Repeated passages by suffix automata of reference shards.
 
-Every window of words belongs to the least of its word grams, so windows that are equal have the same gram. A run is the
-windows of a text that share the place of their gram; the words it spans are its fragment. The fragments of one gram are a
+Every window of words belongs to the least of its word grams, so windows that are equal have the same gram. A run is
+neighbouring windows of a text with one gram; the words it spans are its fragment. The fragments of one gram are a
 shard of the reference: a task builds their suffix automaton, with the occurrences of every state, streams the fragments
 through it, and the matching statistics (the longest end of each prefix that occurs once more) give the windows that repeat.
 Only fragments of grams that occur twice take part. A fragment meets no other shard's automaton, so work grows with the
@@ -26,7 +26,7 @@ from .grams import WordIds, gram_hashes
 
 WINDOW = 35
 GRAM = 8
-SHARD = 2000  # runs of a gram that one automaton takes; grams of more are decided window by window
+SHARD = 2000  # places of a gram that one automaton takes; grams of more are decided window by window
 _CHUNK = 200_000  # words that a task looks at together
 _SEEN = 100_000  # fragments whose text a task has handed on already
 _OUT = 4096
@@ -40,26 +40,29 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []  # at \x20 and \x09-\x0D, as bytes are
 
 
-def least_gram_runs(ids: np.ndarray, lengths: list[int], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one least gram, over texts laid end to end: gram hash, text number, first window, windows."""
+def least_gram_runs(ids: np.ndarray, lengths: list[int], window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one least gram, over texts laid end to end: gram hash, text number, first window, windows, places of the gram."""
     none = np.zeros(0, np.int64)
     total = len(ids)
     if total < window:
-        return none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none, none, none, none
     text = np.repeat(np.arange(len(lengths)), lengths)
     begin = np.repeat(np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
     at = np.flatnonzero(text[: total - window + 1] == text[window - 1 :])
     if not len(at):
-        return none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none, none, none, none
     hashes = gram_hashes(ids, gram)
     least = np.lib.stride_tricks.sliding_window_view(hashes, window - gram + 1).argmin(axis=1)[at] + at
-    new = np.concatenate(([True], (np.diff(least) != 0) | (np.diff(at) != 1)))
-    first = np.flatnonzero(new)
-    return hashes[least[first]], text[at[first]], (at - begin[at])[first], np.diff(np.concatenate((first, [len(at)])))
+    moved = np.concatenate(([True], (np.diff(least) != 0) | (np.diff(at) != 1)))
+    # a gram that comes again before another takes over, as in a phrase said over and over, goes on with its run
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(hashes[least]) != 0) | (np.diff(at) != 1))))
+    ends = np.concatenate((first, [len(at)]))
+    places = np.diff(np.concatenate(([0], np.cumsum(moved)))[ends])
+    return hashes[least[first]], text[at[first]], (at - begin[at])[first], np.diff(ends), places
 
 
 def _find_runs(window: int, gram: int):
-    """Of each text with a window: key, words, and its runs as three lists."""
+    """Of each text with a window: key, words, and its runs as four lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds()
@@ -68,10 +71,10 @@ def _find_runs(window: int, gram: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             lengths = [len(x) for x in ids]
-            hashes, text, start, n = least_gram_runs(np.concatenate(ids) if ids else np.zeros(0, np.uint64), lengths, window, gram)
+            hashes, text, start, n, places = least_gram_runs(np.concatenate(ids) if ids else np.zeros(0, np.uint64), lengths, window, gram)
             ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(ids))))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (hashes.view(np.int64), start.astype(np.int32), n.astype(np.int32))]
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lengths, pa.int64()), *lists], ["key", "words", "grams", "starts", "counts"])
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (hashes.view(np.int64), *(x.astype(np.int32) for x in (start, n, places)))]
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lengths, pa.int64()), *lists], ["key", "words", "grams", "starts", "counts", "places"])
             keys.clear()
             ids.clear()
             yield out
@@ -94,39 +97,48 @@ def _find_runs(window: int, gram: int):
 
 
 def _cut_fragments(window: int):
-    """The fragments of a text's runs; for the runs of very frequent grams every window by itself.
+    """The fragments of a text's runs; for the runs of very frequent grams the text's different windows with all their places.
 
     A fragment's words are handed on once a task, as long as it remembers that it did.
     """
+    schema = pa.schema([("gram", pa.int64()), ("digest", pa.binary()), ("rid", pa.int64()), ("starts", pa.list_(pa.int32())), ("copies", pa.int64()), ("single", pa.bool_()), ("words", pa.string())])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("gram", pa.int64()), ("digest", pa.binary()), ("rid", pa.int64()), ("start", pa.int32()), ("copies", pa.int64()), ("single", pa.bool_()), ("words", pa.string())])
         seen: set[bytes] = set()
         out: list[tuple] = []
         for batch in batches:
-            for text, rid, copies, runs in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for text, rid, copies, runs in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2)), batch.column(3), strict=True):
                 words = words_of(text.as_py())
-                for r in runs:
+                windows: dict[bytes, list[int]] = {}
+                for r in runs.as_py():
                     start, n = r["start"], r["n"]
                     if r["hot"]:
                         for i in range(start, start + n):
-                            out.append((r["gram"], hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest(), rid, i, copies, True, None))
+                            windows.setdefault(_digest(words[i : i + window]), []).append(i)
                     else:
-                        part = b" ".join(words[start : start + n + window - 1])
-                        digest = hashlib.blake2b(part, digest_size=16).digest()
-                        out.append((r["gram"], digest, rid, start, copies, False, None if digest in seen else part.decode()))
+                        part = words[start : start + n + window - 1]
+                        digest = _digest(part)
+                        out.append((r["gram"], digest, rid, [start], copies, False, None if digest in seen else b" ".join(part).decode()))
                         seen.add(digest)
-                    if len(out) >= _OUT:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                        out = []
+                out.extend((None, digest, rid, at, copies * len(at), True, None) for digest, at in windows.items())
+                if len(out) >= _OUT:
+                    yield batch_of(out)
+                    out = []
                 if len(seen) > _SEEN:
                     seen.clear()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield batch_of(out)
 
     return run
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 class SuffixAutomaton:
     """Of several word sequences; every state counts the ends of its strings, weighted by the sequences' copies."""
 
@@ -252,26 +264,25 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text", gr
     without a span have no row.
     """
     texts = docs.select(text_key(text_or_empty(text)).alias("key"), text_or_empty(text).alias("text"))
-    found = texts.mapInArrow(_find_runs(window, gram), "key binary, words bigint, grams array<bigint>, starts array<int>, counts array<int>")
-    each = found.groupBy("key").agg(F.first(F.struct("words", "grams", "starts", "counts")).alias("_r"), F.count(F.lit(1)).alias("copies"))
+    found = texts.mapInArrow(_find_runs(window, gram), "key binary, words bigint, grams array<bigint>, starts array<int>, counts array<int>, places array<int>")
+    each = found.groupBy("key").agg(F.first(F.struct("words", "grams", "starts", "counts", "places")).alias("_r"), F.count(F.lit(1)).alias("copies"))
     runs = staged(with_row_key(each.select("key", "copies", "_r.*"), "rid"), "runs")
 
-    every = runs.select("rid", F.explode(F.arrays_zip("grams", "starts", "counts")).alias("r")).select("rid", F.col("r.grams").alias("gram"), F.col("r.starts").alias("start"), F.col("r.counts").alias("n"))
-    repeated = every.groupBy("gram").agg(F.count(F.lit(1)).alias("_runs")).where("_runs > 1").select("gram", (F.col("_runs") > shard).alias("hot"))
+    every = runs.select("rid", F.explode(F.arrays_zip("grams", "starts", "counts", "places")).alias("r")).select("rid", F.col("r.grams").alias("gram"), F.col("r.starts").alias("start"), F.col("r.counts").alias("n"), F.col("r.places").alias("places"))
+    repeated = every.groupBy("gram").agg(F.sum("places").alias("_n")).where("_n > 1").select("gram", (F.col("_n") > shard).alias("hot"))
     wanted = every.join(repeated, "gram").groupBy("rid").agg(F.collect_list(F.struct("gram", "start", "n", "hot")).alias("runs"))
     wanted = runs.select("key", "rid", "copies").join(wanted, "rid")
     whole = texts.groupBy("key").agg(F.first("text").alias("text"))  # copies of a text are cut once
-    cut = whole.join(wanted, "key").select("text", "rid", "copies", "runs").mapInArrow(_cut_fragments(window), "gram bigint, digest binary, rid bigint, start int, copies bigint, single boolean, words string")
+    cut = whole.join(wanted, "key").select("text", "rid", "copies", "runs").mapInArrow(_cut_fragments(window), "gram bigint, digest binary, rid bigint, starts array<int>, copies bigint, single boolean, words string")
     fragments = staged(cut, "fragments")
 
-    columns = ["gram", "digest", "rid", "start", "copies", "words"]
-    matched = fragments.where(~F.col("single")).select(*columns).repartition("gram").sortWithinPartitions("gram", "digest").mapInArrow(_match_shards(window), "rid bigint, begin bigint, end bigint")
-    single = fragments.where("single").select("digest", "rid", "start", "copies")
+    matched = fragments.where(~F.col("single")).select("gram", "digest", "rid", F.get("starts", F.lit(0)).alias("start"), "copies", "words").repartition("gram").sortWithinPartitions("gram", "digest").mapInArrow(_match_shards(window), "rid bigint, begin bigint, end bigint")
+    single = fragments.where("single").select("digest", "rid", "starts", "copies")
     twice = single.groupBy("digest").agg(F.sum("copies").alias("_n")).where("_n > 1").select("digest")
-    at = F.col("start").cast("bigint")
-    spans = matched.unionByName(single.join(twice, "digest").select("rid", at.alias("begin"), (at + window).alias("end")))
-    spans = spans.unionByName(runs.where("copies > 1").select("rid", F.lit(0).cast("bigint").alias("begin"), F.col("words").alias("end")))
-    by_text = spans.groupBy("rid").agg(F.flatten(F.collect_list(F.array("begin", "end"))).alias("spans"))
+    ends = lambda more: F.flatten(F.transform("starts", lambda i: F.array(i.cast("bigint"), i.cast("bigint") + more)))
+    spans = matched.select("rid", F.array("begin", "end").alias("s")).unionByName(single.join(twice, "digest").select("rid", ends(window).alias("s")))
+    spans = spans.unionByName(runs.where("copies > 1").select("rid", F.array(F.lit(0).cast("bigint"), F.col("words")).alias("s")))
+    by_text = spans.groupBy("rid").agg(F.flatten(F.collect_list("s")).alias("spans"))
     return runs.select("key", "rid").join(by_text, "rid").select("key", "spans")
 
 

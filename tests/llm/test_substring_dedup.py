@@ -112,7 +112,8 @@ def test_runs_hold_every_window_once():
     rng = np.random.default_rng(0)
     lengths = [0, 5, 10, 11, 40, 3, 200]
     ids = rng.integers(0, 20, sum(lengths)).astype(np.uint64)
-    gram, text, start, n = least_gram_runs(ids, lengths, 10, 3)
+    gram, text, start, n, places = least_gram_runs(ids, lengths, 10, 3)
+    assert all(places >= 1) and list(least_gram_runs(np.zeros(50, np.uint64), [50], 10, 3)[4]) == [41]
     held = Counter((t, s + i) for t, s, k in zip(text, start, n, strict=True) for i in range(k))
     assert held == Counter((t, s) for t, k in enumerate(lengths) for s in range(k - 9))
     # equal windows have equal grams
