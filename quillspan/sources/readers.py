@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from quillspan.functions.text import context_id, evidence_given, find_evidence, json_meta, prompt_type, sample_id
 from quillspan.operators import schema
+from quillspan.sources import splits
 
 # File names, label maps and required columns of the corpora.
 FILES = {
@@ -76,18 +77,42 @@ def numbered(df: DataFrame, name: str = "_index") -> DataFrame:
     return rows.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_nth")).cast("int")).drop("_part", "_nth", "_before")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns text; an empty field is an empty string and ``NA`` stays. Quoted fields may hold line breaks."""
-    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("inferSchema", False).csv(require_file(spark, path))
-    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip("﻿")) for c in df.columns])
+def read_csv(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
+    """All columns text; an empty field is an empty string and ``NA`` stays. Quoted fields may hold line breaks.
+
+    The file is read by byte ranges. Its first line end is that of all its lines; one inside quotes reads as a line feed. ``index`` names a column for the row's number in the file, from 0.
+    """
+    form = {"quote": '"', "escape": '"', "multiLine": "true"}
+    names = spark.read.options(**form, header=True, inferSchema=False).csv(require_file(spark, path)).columns
+    end = splits.line_end(spark, path)
+    rows, _ = splits.records(spark, path, splits.CsvLines(end[-1]))
+    text = F.col("text") if end == "\n" else F.replace(F.regexp_replace("text", "\\r$", ""), F.lit(end), F.lit("\n"))
+    kind = ", ".join(f"_c{i} string" for i in range(len(names)))
+    parsed = rows.select("block", "nth", F.from_csv(text, kind, form).alias("_r"))
+    placed = splits.counted(parsed, F.lit(1), "_place").where("_place > 0")
+    fields = [F.coalesce(F.col(f"_r._c{i}"), F.lit("")).alias(c.lstrip("\ufeff")) for i, c in enumerate(names)]
+    return placed.select(*fields, *([(F.col("_place") - 1).alias(index)] if index else []))
 
 
 def read_json_records(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
-    """One top-level object of records: ``source_id``, ``_index`` in the file's order, the fields (null where JSON has null)."""
+    """One top-level object of records: ``source_id``, ``_index`` in the file's order, the fields (null where JSON has null).
+
+    The file is read by byte ranges and cut behind each record; what isn't such an object raises.
+    """
     kind = T.MapType(T.StringType(), T.StructType([T.StructField(f, T.StringType()) for f in fields]))
-    whole = spark.read.text(require_file(spark, path), wholetext=True).select(F.from_json("value", kind).alias("m"))
-    checked = whole.select(F.when(F.col("m").isNull(), F.raise_error(F.lit(f"{path} is not an object of records")).cast(kind)).otherwise(F.col("m")).alias("m"))
-    return checked.select(F.posexplode("m").alias("_index", "source_id", "r")).select("_index", "source_id", *[F.col(f"r.{f}").alias(f) for f in fields])
+    rows, end = splits.records(spark, require_file(spark, path), splits.JsonEntries())
+    wrong = f"{path} is not an object of records"
+    if end is None or end[0] or end[1] > 0:
+        raise ValueError(wrong)
+    # each part is read as an object of its own, without the brace or comma before it
+    first, text = (F.col("block") == 0) & (F.col("nth") == 0), F.col("text")
+    good = F.when(first, text.rlike(r"^[\s\uFEFF]*\{(?!\s*,)")).otherwise(text.rlike(r"^\s*(,(?!\s*\})|\}\s*$)") | text.rlike(r"^\s*$"))
+    entry = F.concat(F.lit("{"), F.regexp_replace(text, r"^[\s\uFEFF]*[{,]?", ""), F.when(F.col("ended"), "}").otherwise(""))
+    read = F.when(~first & text.rlike(r"^\s*$"), F.from_json(F.lit("{}"), kind)).when(good, F.from_json(entry, kind))
+    checked = F.when(read.isNull(), F.raise_error(F.lit(wrong)).cast(kind)).otherwise(read)
+    placed = splits.counted(rows.select("block", "nth", checked.alias("m")), F.size("m"), "_before_it")
+    each = placed.select("_before_it", F.posexplode("m").alias("_pos", "source_id", "r"))
+    return each.select((F.col("_before_it") + F.col("_pos")).alias("_index"), "source_id", *[F.col(f"r.{f}").alias(f) for f in fields])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -118,7 +143,7 @@ def _common(df: DataFrame, dataset: str, split: str, context: Column, question:
 
 def read_vihallu(spark: SparkSession, raw_dir: str) -> DataFrame:
     name = "vihallu"
-    df = numbered(require_columns(read_csv(spark, f"{raw_dir}/{FILES[name]['train']}"), REQUIRED[name], name))
+    df = require_columns(read_csv(spark, f"{raw_dir}/{FILES[name]['train']}", "_index"), REQUIRED[name], name)
     kind = prompt_type(F.col("prompt"), F.col("context"))
     meta = {"source_id": F.col("id"), "prompt_type": kind, "prompt_has_diacritics": kind != "noisy"}
     return _common(df, name, "train", F.col("context"), F.col("prompt"), F.col("response"), mapped_label(F.col("label"), LABEL_MAPS[name], F.col("_index")), F.col("label"), None, meta, True)
@@ -135,7 +160,7 @@ def read_isedsc01(spark: SparkSession, raw_dir: str) -> DataFrame:
 def read_viwikifc(spark: SparkSession, raw_dir: str) -> DataFrame:
     name, parts = "viwikifc", []
     for split, file in FILES[name].items():
-        df = numbered(require_columns(read_csv(spark, f"{raw_dir}/{file}"), REQUIRED[name], file))
+        df = require_columns(read_csv(spark, f"{raw_dir}/{file}", "_index"), REQUIRED[name], file)
         meta = {"source_id": F.col("pairID"), "title": F.col("title"), "link": F.col("link"), "sentence_id": F.col("sentenceID")}
         parts.append(_common(df, name, split, F.col("context"), F.lit(""), F.col("claim"), mapped_label(F.col("gold_label"), LABEL_MAPS[name], F.col("_index")), F.col("gold_label"), F.col("evidence"), meta, False))
     return union_all(parts)
