@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import TIER_BOUNDS, clock_ratio, tier_label, tier_of
+from quillspan.functions.text import TIER_BOUNDS, clock_ratio, let, tier_label, tier_of
 from quillspan.operators.quantiles import exact_percentiles, join_groups
 
 OVERHEAD, OVERHEAD_ASKED = 37, 41  # fixed values: tokens of the template without and with a question
@@ -31,22 +28,34 @@ def histogram(df: DataFrame, corpus: str, n: str, bounds: tuple[int, ...] = TIER
     return every.join(counts, [corpus, "tier"], "left").select(corpus, "tier", tier_label(F.col("tier"), bounds).alias("tier_label"), F.coalesce("n_samples", F.lit(0)).alias("n_samples"))
 
 
+def _range_of(splits: Column, key: Column) -> Column:
+    """How many of at most 255 sorted ``splits`` lie below ``key``, by sixteens and then within one."""
+    below = lambda c: F.size(F.filter(c, lambda s: s < key))
+    coarse = F.filter(splits, lambda _, i: i % 16 == 15)
+    return let(below(coarse), lambda i: i * 16 + below(F.slice(splits, i * 16 + 1, 15)))
+
+
 def spread(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     """``n`` rows of each group evenly over its order with both ends, all rows of a smaller group; repeats of a place count once.
 
     Places are ``i * (size - 1) / (n - 1)`` rounded half to even, the last one pinned to the end; one place is the first row.
+    A group is cut into 256 ranges of its whole order at the keys of a fixed sample of its rows; the ranges are counted, and
+    only the rows of those that hold a wanted place are numbered. A value of the first column that all rows share is cut by
+    the next ones; rows that are equal in all of ``order`` are interchangeable and stay in one range.
     """
-    # rows are counted by the first column of the order; only the rows of the values that hold a wanted place are numbered
-    keys = [*by, order[0]]
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(order[0]))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    key = F.struct(*order)
+    drawn = df.select(*by, key.alias("_key")).withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("_key")))).where("_nth < 256")
+    splits = drawn.groupBy(*by).agg(F.sort_array(F.collect_set("_key")).alias("_splits"))
+    rows = join_groups(df, splits, by).withColumn("_range", _range_of(F.col("_splits"), key)).drop("_splits")
+    counts = rows.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_range"))
     counts = counts.withColumn("_from", upto - F.col("_c")).withColumn("_size", F.sum("_c").over(Window.partitionBy(*by)))
     step = (F.col("_size") - 1) / F.lit(float(max(n - 1, 1)))
     places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when((i == n - 1) & F.lit(n > 1), F.col("_size") - 1).otherwise(F.rint(i * step).cast("bigint")))
     inside = F.filter(F.transform(places, lambda p: p - F.col("_from")), lambda p: (p >= 0) & (p < F.col("_c")))
-    wanted = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_size") <= n).alias("_all"), inside.alias("_places")).where(F.col("_all") | (F.size("_places") > 0))
-    same = reduce(and_, [df[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    met = df.join(wanted, same).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    wanted = counts.select(*by, "_range", (F.col("_size") <= n).alias("_all"), inside.alias("_places")).where(F.col("_all") | (F.size("_places") > 0))
+    met = join_groups(rows, wanted, [*by, "_range"]).where(F.col("_all").isNotNull())
+    met = met.withColumn("_at", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)) - 1)
     return met.where(F.col("_all") | F.array_contains("_places", F.col("_at").cast("bigint"))).select(df.columns)
 
 

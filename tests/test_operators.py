@@ -194,6 +194,28 @@ def test_spread_over_repeats_and_nulls(spark):
     assert sorted((r.g or "", r.i) for r in got) == sorted([("", i) for i in places] + [("a", i) for i in places] + [("few", 0), ("few", 1)])
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 300])
+def test_spread_against_a_sorted_list(spark, n):
+    rng = random.Random(n)
+    rows = [(g, rng.choice([None, "a", "b", "zz"]), rng.choice([None, 1.5, 2.5]), i) for g, size in (("x", 3000), (None, 400), ("y", 5)) for i in range(size)]
+    rng.shuffle(rows)
+    got = tiers.spread(spark.createDataFrame(rows, "g string, s string, v double, i int"), ["g"], ["s", "v", "i"], n).collect()
+    want = []
+    for g in ("x", None, "y"):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or "", r[2] is not None, r[2] or 0, r[3]))
+        places = range(len(own)) if len(own) <= n else {len(own) - 1 if i == n - 1 and n > 1 else round(i * (len(own) - 1) / max(n - 1, 1)) for i in range(n)}
+        want += [own[p] for p in places]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_spread_of_one_repeated_value(spark):
+    """All rows share the first value of the order: no task numbers more than the ranges of wanted places."""
+    size = 1_000_000
+    df = spark.range(size).select(F.lit("g").alias("g"), F.lit(7).alias("n"), F.col("id").alias("i"))
+    got = [r.i for r in tiers.spread(df, ["g"], ["n", "i"], 20).orderBy("i").collect()]
+    assert got == [round(k * (size - 1) / 19) for k in range(20)]
+
+
 @pytest.mark.parametrize("by", [["g"], ["g", "h"], []])
 @pytest.mark.parametrize("accuracy", [50, 50_000])
 def test_exact_percentiles(spark, by, accuracy):
