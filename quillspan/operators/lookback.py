@@ -6,8 +6,12 @@ gives the same weights as one row for each key, for cross-checks.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from quillspan.operators.quantiles import exact_percentiles, join_groups
 
@@ -39,19 +43,48 @@ def _sum_at(weights: Column, positions: Column) -> Column:
     return F.aggregate(positions, F.lit(0.0), lambda acc, k: acc + F.coalesce(F.get(weights, k).cast("double"), F.lit(0.0)))
 
 
-def ratios(weights: Column, context: Column, prompt: Column, response: Column, query_index: Column, chunk_tokens: Column) -> Column:
+@pandas_udf(T.ArrayType(T.DoubleType()))
+def prefix_sums(weights: pd.Series) -> pd.Series:
+    """0 and the sums of the first 1, 2, ... weights, nulls as 0; null if a weight isn't finite, since it would spoil all after it."""
+
+    def of(row):
+        if row is None:
+            return None
+        row = np.asarray(row, np.float64) if None not in row else np.array([0.0 if x is None else x for x in row])
+        return np.concatenate(([0.0], np.cumsum(row))) if np.isfinite(row).all() else None
+
+    return weights.map(of)
+
+
+# as one that isn't deterministic it stays where it stands: the optimizer would copy it into lambdas, where it can't run
+prefix_sums = prefix_sums.asNondeterministic()
+
+
+def _sum_between(weights: Column, sums: Column | None, positions: Column) -> Column:
+    """Positions in a row are the difference of two prefix sums; others, or without sums, are added up one by one."""
+    if sums is None:
+        return _sum_at(weights, positions)
+    n = F.size(positions)
+    first, last = F.get(positions, F.lit(0)), F.get(positions, n - 1)
+    upto = lambda k: F.get(sums, F.least(k, F.size(sums) - 1))
+    return F.when(n == 0, F.lit(0.0)).when(sums.isNotNull() & (first >= 0) & (last - first + 1 == n), upto(last + 1) - upto(first)).otherwise(_sum_at(weights, positions))
+
+
+def ratios(weights: Column, context: Column, prompt: Column, response: Column, query_index: Column, chunk_tokens: Column, sums: Column | None = None) -> Column:
     """Struct of ``context_mean``, ``prompt_mean``, ``self_mean``, ``lookback_context``, ``lookback_total``, ``per_chunk``.
 
     ``query_index`` counts the scored response tokens from 0: the query's own key is response token ``query_index + 1``, its
-    weight is left out of the self mean, which is divided by ``query_index + 1``.
+    weight is left out of the self mean, which is divided by ``query_index + 1``. Positions are ascending. With the row's
+    ``prefix_sums`` a role or chunk whose tokens are in a row costs two look-ups, however long it is and however chunks overlap.
     """
+    total = lambda positions: _sum_between(weights, sums, positions)
     own = F.coalesce(F.get(weights, F.get(response, query_index + 1)).cast("double"), F.lit(0.0))
-    context_mean = _sum_at(weights, context) / F.greatest(F.size(context), F.lit(1))
-    prompt_mean = _sum_at(weights, prompt) / F.greatest(F.size(prompt), F.lit(1))
-    self_mean = (_sum_at(weights, response) - own) / (query_index + 1)
+    context_mean = total(context) / F.greatest(F.size(context), F.lit(1))
+    prompt_mean = total(prompt) / F.greatest(F.size(prompt), F.lit(1))
+    self_mean = (total(response) - own) / (query_index + 1)
     floor = lambda x: F.greatest(x, F.lit(EPS))
     share = lambda m: m / floor(m + self_mean)
-    means = F.transform(chunk_tokens, lambda t: _sum_at(weights, t) / F.greatest(F.size(t), F.lit(1)))
+    means = F.transform(chunk_tokens, lambda t: total(t) / F.greatest(F.size(t), F.lit(1)))
     # the divisor is bound once to a lambda's variable
     per_chunk = F.aggregate(F.array(floor(context_mean + self_mean)), F.lit(0.0), lambda a, x: a + x, lambda total: F.transform(means, lambda m: m / total))
     return F.struct(context_mean.alias("context_mean"), prompt_mean.alias("prompt_mean"), self_mean.alias("self_mean"), share(context_mean).alias("lookback_context"), share(prompt_mean).alias("lookback_total"), per_chunk.alias("per_chunk"))
@@ -59,7 +92,8 @@ def ratios(weights: Column, context: Column, prompt: Column, response: Column, q
 
 def lookback(df: DataFrame, weights: str = "weights", query_index: str = "query_index", role: str = "layout") -> DataFrame:
     r = F.col(role)
-    return df.withColumn("ratios", ratios(F.col(weights), r["context"], r["prompt"], r["response"], F.col(query_index), r["chunk_tokens"]))
+    rows = df.withColumn("_sums", prefix_sums(weights))
+    return rows.withColumn("ratios", ratios(F.col(weights), r["context"], r["prompt"], r["response"], F.col(query_index), r["chunk_tokens"], F.col("_sums"))).drop("_sums")
 
 
 def is_finite(weights: Column) -> Column:

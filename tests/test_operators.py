@@ -2,11 +2,13 @@ import json
 import math
 import random
 import re
+import time
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillspan.functions.text import let
 from quillspan.operators import audit, chunking, containment, detector, features, lookback, metrics, quantiles, retrieval, runlog, schema, split, tiers
 
 
@@ -156,6 +158,33 @@ def test_per_chunk_is_a_mean_over_tokens(spark):
     assert all(math.isfinite(x) for x in [zero.self_mean, zero.lookback_total, *zero.per_chunk])
 
 
+def test_prefix_sums_give_the_sums_by_position(spark):
+    """Overlapping chunks, gaps, positions beyond the weights, empty chunks, nulls and weights that aren't finite."""
+    rng = random.Random(4)
+    rows = []
+    for bad in (None, float("nan"), float("inf"), "null"):
+        w = [rng.random() for _ in range(300)]
+        if bad is not None:
+            w[150] = None if bad == "null" else bad
+        chunks = [list(range(a, a + rng.randint(0, 90))) for a in range(0, 200, 7)] + [[3, 5, 9], [], [298, 299, 300, 301], [150]]
+        rows.append((w, list(range(250)), list(range(260)), list(range(260, 300)), 4, chunks))
+    df = spark.createDataFrame(rows, "w array<double>, c array<int>, p array<int>, r array<int>, q int, t array<array<int>>")
+    args = [F.col(x) for x in "wcprqt"]
+    got = df.withColumn("s", lookback.prefix_sums("w")).select(lookback.ratios(*args).alias("a"), let(F.col("s"), lambda s: lookback.ratios(*args, s)).alias("b")).collect()
+    for x in got:
+        for a, b in zip([*x.a[:5], *x.a.per_chunk], [*x.b[:5], *x.b.per_chunk], strict=True):
+            assert b == pytest.approx(a, nan_ok=True)
+
+
+def test_long_contexts_cost_their_length(spark):
+    """20,000 overlapping chunks of 20,000 tokens: 400 million positions if each chunk added up its own."""
+    n = 40_000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("double")).alias("w"))
+    began = time.time()
+    got = df.select(let(lookback.prefix_sums("w"), lambda s: F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda a: F.get(s, a + 20_000) - F.get(s, a))).alias("x")).first().x
+    assert time.time() - began < 30 and got[7] == sum(range(7, 20_007)) and len(got) == 20_000
+
+
 @pytest.mark.parametrize("offsets,span,tokens", [([(0, 3), (3, 7), (7, 10), (10, 14)], (3, 10), [1, 2]), ([(0, 5), (5, 10)], (4, 6), [0, 1]), ([(0, 0), (2, 2)], (0, 5), [])])
 def test_token_span(spark, offsets, span, tokens):
     df = spark.createDataFrame([(offsets,)], "o array<struct<token_start:int,token_end:int>>")
