@@ -13,6 +13,7 @@ import itertools
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,13 @@ from .common import staged
 PIECES = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, kind int, pid int, nth bigint"
 
 
-_MARKS = re.compile(r"[\W_][.,;:!?] ")
+def _unstable() -> str:
+    """Letters and digits whose composed lower-case form ends with another kind of character, as İ and क़ do."""
+    return "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
+
+
+UNSTABLE = _unstable()
+_MARKS = re.compile(rf"[\W_{UNSTABLE}][.,;:!?] ")
 
 
 class WordEncoder:
@@ -37,7 +44,7 @@ class WordEncoder:
 
     No pre-token holds white space, so the ids of a text are those of its space-delimited words in order; the library
     encodes each word once. A closing mark after a letter is a pre-token of its own, so a word with one is made of two known
-    parts. Latin-1 texts are lower-cased first, as the tokenizer would (a text with "<|" isn't: its special strings are
+    parts, unless composing or lower-casing leaves another character than a letter before the mark. Latin-1 texts are lower-cased first, as the tokenizer would (a text with "<|" isn't: its special strings are
     told by case). New words of letters only are encoded in one call and told apart by the mark that ends a word's last token.
     ``most`` bounds the memory of words: when the newer half is full it becomes the older half, whose words come back when
     they are met. Other tokenizers encode whole texts.
@@ -81,7 +88,7 @@ class WordEncoder:
         for w in back:
             seen[w] = older[w]
         words = words - back
-        marked = {w for w in words if w[-1] in ".,;:!?" and w[-2:-1].isalpha()}
+        marked = {w for w in words if w[-1] in ".,;:!?" and w[-2:-1].isalpha() and w[-2] not in UNSTABLE}
         parts = (words - marked).union((w[:-1] for w in marked), (w[-1] for w in marked)).difference(seen)
         letters = [w for w in parts if w.isalpha()]
         if letters:
