@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.functions import text as T
 from quillspan.functions.text import ANSWER_CODES, KAPPA_BANDS, KAPPA_NONE, KAPPA_TOP
 from quillspan.operators import audit, detector, metrics, runlog
 from quillspan.plans.attention_queries import ratio_rows
 from quillspan.plans.registry import query
-from quillspan.plans.views import SQL_ANNOTATED, annotated, table
+from quillspan.plans.views import SQL_ANNOTATED, SQL_CONTEXT_ID, SQL_WORDS, annotated, table
 
 _QUOTAS = {"Not_Enough_Information": 20, "Refutes": 5, "Supports": 5}
 _BAND = "CASE WHEN isnan(kappa) THEN '" + KAPPA_NONE + "' " + " ".join(f"WHEN kappa < {b} THEN '{w}'" for b, w in KAPPA_BANDS) + f" ELSE '{KAPPA_TOP}' END"
@@ -142,3 +143,21 @@ def detector_predictions(spark, d):
     rows = ratio_rows(spark, d).select("vec_id", (F.col("head") % 3).cast("string").alias("label"), F.concat(F.array("lookback_context", "lookback_total", "self_mean"), "per_chunk").alias("features"))
     model = detector.fit(rows, max_iter=20)
     return detector.predict(model, rows).select("vec_id", "label", "predicted")
+
+
+_VARIETY = f"""(SELECT *, least(greatest(CAST(floor(score * 10) AS INT), 0), 9) AS bin FROM (
+  SELECT d.source, CAST(('0x' || substr(md5('42:' || {SQL_CONTEXT_ID('d.text')}), 1, 8)) AS BIGINT) % 5 AS fold, l.quality = 1 AS good, len(list_distinct({SQL_WORDS('d.text')})) / greatest(len({SQL_WORDS('d.text')}), 1)::DOUBLE AS score
+  FROM documents d JOIN labels l USING (doc_id)))"""
+
+
+@query(f"""WITH r AS (SELECT * FROM {_VARIETY}), p AS (SELECT fold, bin, count(*) AS n, sum(good::INT) AS y FROM r WHERE good IS NOT NULL GROUP BY ALL), w AS (SELECT bin, sum(n) AS n, sum(y) AS y FROM p GROUP BY bin),
+c AS (SELECT r.*, CASE WHEN w.n > p.n THEN (w.y - p.y) / (w.n - p.n)::DOUBLE END AS calibrated FROM r JOIN p USING (fold, bin) JOIN w ON w.bin = r.bin)
+SELECT CAST(fold AS INT) AS fold, count(*) AS n, round(avg((score - good::INT) ** 2), 6) AS brier_score, round(avg((calibrated - good::INT) ** 2), 6) AS brier_calibrated FROM c GROUP BY fold""")
+def cross_fitted_calibration(spark, d):
+    """Variety of words as a score of quality, calibrated for each fold on the contexts of the others."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    words = T.words(F.col("text"))
+    score = F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
+    scored = rows.select(T.context_id(F.col("text")).alias("context_id"), (F.col("quality") == 1).alias("good"), score.alias("score"))
+    got = detector.brier(detector.cross_fitted_rates(scored, "context_id", "score", "good"), ["score", "calibrated"], "good", ["fold"])
+    return got.withColumns({c: F.round(c, 6) for c in ("brier_score", "brier_calibrated")})

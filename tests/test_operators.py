@@ -441,7 +441,7 @@ def test_drift_skips_layers_with_nan(spark):
     assert r[1].n_nan == 1 and math.isclose(r[0].max_diff, 0.1) and math.isclose(r[1].mean_diff, 0.8)
 
 
-@pytest.mark.parametrize("kind", ["logistic_regression", "linear_svc", "lightgbm"])
+@pytest.mark.parametrize("kind", ["logistic_regression", "linear_svc", "boosted_trees", "lightgbm"])
 def test_detectors_learn_and_keep(spark, tmp_path, kind):
     rng = random.Random(3)
     rows = [([c + rng.gauss(0, 0.2), -c + rng.gauss(0, 0.2)], "abc"[c]) for c in (0, 0, 0, 1, 2) for _ in range(20)]
@@ -469,6 +469,42 @@ def test_calibration_is_monotone_and_fits(spark):
     assert [r.calibrated for r in got if r.s is None] == [None]
 
 
+def noisy_contexts(rng, n):
+    """Rows whose features are shared by their context, so that a detector can learn contexts by heart."""
+    rows = []
+    for c in range(n):
+        truth = rng.random() < 0.5
+        own = [rng.gauss(0.4 if truth else -0.4, 1)] + [rng.gauss(0, 1) for _ in range(25)]
+        rows += [(f"c{c}", "bad" if truth else "good", [x + rng.gauss(0, 0.05) for x in own])] * 3
+    return rows
+
+
+def test_cross_fitted_scores_hold_on_new_contexts(spark):
+    rng = random.Random(8)
+    kinds = "context_id string, label string, features array<double>"
+    train, new = spark.createDataFrame(noisy_contexts(rng, 60), kinds).cache(), spark.createDataFrame(noisy_contexts(rng, 300), kinds)
+    folds = detector.out_of_fold(train, "bad", folds=3, max_iter=30)
+    rows = folds.collect()
+    assert len(rows) == 180 and all(len({r.fold for r in rows if r.context_id == c}) == 1 for c in {r.context_id for r in rows})
+    fitted = detector.fit_calibrated(train, "bad", folds=3, max_iter=30)
+    # the same isotonic map, but of scores of rows that the detector was fitted on
+    seen = detector.predict(fitted.model, train).withColumn("score", F.get("proba", F.lit(fitted.model.stages[0].labels.index("bad")))).withColumn("t", F.col("label") == "bad")
+    naive = detector.fit_calibrator(seen, "score", "t")
+    held = detector.calibrated(naive, fitted.scores(new), "score", "naive").withColumn("t", F.col("label") == "bad")
+    got = detector.brier(held, ["score", "calibrated", "naive"], "t").first()
+    assert got.n == 900 and got.brier_calibrated < 0.8 * got.brier_naive and got.brier_calibrated < got.brier_score, got
+    with pytest.raises(ValueError, match="no probabilities"):
+        detector.out_of_fold(train, "bad", kind="linear_svc", folds=2, max_iter=2)
+
+
+def test_cross_fitted_rates(spark):
+    rows = [("a", 0.15, True), ("a", 0.15, False), ("b", 0.15, True), ("c", 0.15, None), (None, None, True), ("d", 0.95, True), ("e", 1.0, False), ("f", -0.1, True)]
+    got = detector.cross_fitted_rates(spark.createDataFrame(rows, "g string, s double, y boolean"), "g", "s", "y", folds=1000).collect()
+    by = {(r.g, r.y): r.calibrated for r in got}
+    assert len(got) == 8 and by["a", True] == by["a", False] == 1.0 and by["b", True] == 0.5 and by["c", None] == pytest.approx(2 / 3)
+    assert by["d", True] == 0.0 and by["e", False] == 1.0 and by["f", True] is None and by[None, True] is None
+
+
 def test_calibration_bins_and_threshold(spark):
     rows = [(0.1, False)] * 6 + [(0.4, True)] * 2 + [(0.45, False)] * 3 + [(0.9, True)] * 5 + [(1.0, True)]
     df = spark.createDataFrame(rows, "s double, y boolean")
