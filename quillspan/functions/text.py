@@ -66,11 +66,19 @@ def sample_id(dataset: Column, split: Column, index: Column) -> Column:
     return F.concat_ws("_", dataset, split, index.cast("string"))
 
 
+def lower_escapes(json_text: Column) -> Column:
+    r"""``\u001F`` as ``\u001f`` where it is an escape, so not behind a backslash that is text itself."""
+    out = json_text
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*\\u00){code:02X}", f"$1{code:02x}")
+    return F.when(json_text.rlike(r"\\u00(?:0[BEF]|1[A-F])"), out).otherwise(json_text)
+
+
 def json_meta(fields: dict[str, Column]) -> Column:
-    """A JSON object with sorted keys, ``", "`` and ``": "`` between its parts and letters unescaped; nulls are kept."""
+    """A JSON object with sorted keys, ``", "`` and ``": "`` between its parts and letters unescaped; nulls are kept, hex digits of escapes are lower-case."""
     whole = lambda k: F.to_json(F.struct(fields[k].alias("v")), {"ignoreNullFields": "false"})  # noqa: E731  {"v":...}
     parts = [F.concat(F.lit(json.dumps(k, ensure_ascii=False) + ": "), F.substring(whole(k), F.lit(6), F.length(whole(k)) - 6)) for k in sorted(fields)]
-    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    return F.concat(F.lit("{"), lower_escapes(F.concat_ws(", ", *parts)), F.lit("}"))
 
 
 def find_evidence(context: Column, evidence: Column) -> tuple[Column, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import features, lookback, metrics, retrieval
 from quillspan.plans.registry import query
-from quillspan.plans.views import SQL_ATTENTION, SQL_RATIOS, SQL_SHARES, attention, roles, table
+from quillspan.plans.views import SQL_ATTENTION, SQL_PAIRS, SQL_RATIOS, SQL_SHARES, attention, pairs, roles, table
 
 
 def ratio_rows(spark, d):
@@ -148,3 +148,20 @@ def token_spans(spark, d):
     offsets = rows.withColumn("o", F.zip_with("s", "p", lambda s, w: F.struct(s.alias("token_start"), (s + F.length(w)).alias("token_end"))))
     inside = offsets.withColumn("t", lookback.token_span(F.col("o"), F.lit(10), F.lit(40))).where(F.size("t") > 0)
     return inside.select("conv_id", "turn", F.size("t").cast("bigint").alias("n_inside"), F.get("t", F.lit(0)).alias("first_token"))
+
+
+@query(f"""SELECT conv_id, turn, (lq - 1) // 4 + 1 AS n_context, (lq + 1) // 4 AS n_prompt, (lq + 1) // 4 AS first_response, (lq + lr) // 4 - (lq + 1) // 4 AS n_queries, (h - 1) // 4 + 1 AS chunk_1, (lq - 1) // 4 - h // 4 + 1 AS chunk_2,
+  CAST(list_sum(range(h // 4, (lq - 1) // 4 + 1)) AS BIGINT) AS places_2 FROM (SELECT conv_id, turn, CAST(length(question) AS BIGINT) AS lq, CAST(length(response) AS BIGINT) AS lr, CAST(length(question) // 2 AS BIGINT) AS h FROM {SQL_PAIRS}) WHERE lq > 1 AND lr > 11""")
+def token_layout(spark, d):
+    """Roles of tokens of four characters in question, line feed and response; the question's halves are chunks."""
+    rows = pairs(spark, d).where((F.length("question") > 1) & (F.length("response") > 11))
+    lq, n = F.length("question"), F.length("question") + F.length("response") + 1
+    starts = F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int"))
+    offsets = F.transform(starts, lambda i: F.struct((i * 4).alias("token_start"), F.least(i * 4 + 4, n).alias("token_end")))
+    half = F.floor(lq / 2).cast("int")
+    chunk = lambda a, b: F.struct(a.alias("char_start"), b.alias("char_end"))
+    roles = lookback.layout(offsets, (F.lit(0), lq), (lq + 1, n), F.array(chunk(F.lit(0), half), chunk(half, lq)))
+    size = lambda c: F.size(c).cast("bigint")
+    r = rows.select("conv_id", "turn", roles.alias("r"))
+    second = F.get("r.chunk_tokens", F.lit(1))
+    return r.select("conv_id", "turn", size("r.context").alias("n_context"), size("r.prompt").alias("n_prompt"), F.get("r.response", F.lit(0)).cast("bigint").alias("first_response"), size("r.queries").alias("n_queries"), size(F.get("r.chunk_tokens", F.lit(0))).alias("chunk_1"), size(second).alias("chunk_2"), F.aggregate(second, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("places_2"))

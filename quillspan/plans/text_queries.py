@@ -224,3 +224,23 @@ def normalised_answers(spark, d):
     k = F.col("doc_id") % 6
     raw = F.when(k == 0, " NGOAI LAI ").when(k == 1, "noi-tai").when(k == 2, "  ").when(k == 3, "NaN").when(k == 4, "khác").otherwise("khong_chac")
     return table(spark, d, "labels").select("doc_id", T.normalise_answer(raw).alias("answer"))
+
+
+# The text's control character as Python's json writes it.
+_ESCAPE = "CASE c WHEN 8 THEN '\\b' WHEN 9 THEN '\\t' WHEN 10 THEN '\\n' WHEN 12 THEN '\\f' WHEN 13 THEN '\\r' ELSE printf('\\u%04x', c) END"
+
+
+@query(f"""SELECT doc_id, '{{"id": ' || doc_id || ', "note": "' || coalesce(lang, '') || {_ESCAPE} || '\\\\u001F' || {_ESCAPE} || '", "source": ' || CASE WHEN source IS NULL THEN 'null' ELSE '"' || source || '"' END || '}}' AS meta
+FROM (SELECT *, CAST(doc_id % 31 + 1 AS INT) AS c FROM documents)""")
+def meta_escapes(spark, d):
+    mark = F.char(F.col("doc_id") % 31 + 1)
+    note = F.concat(F.coalesce("lang", F.lit("")), mark, F.lit("\\u001F"), mark)
+    return table(spark, d, "documents").select("doc_id", T.json_meta({"note": note, "id": F.col("doc_id"), "source": F.col("source")}).alias("meta"))
+
+
+@query(f"""SELECT doc_id, len({SQL_WORDS('given')}) > 0 AS evidence_given FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN '' WHEN 2 THEN chr(160) || chr(8195) || chr(31) WHEN 3 THEN NULL ELSE chr(11) || lang END AS given FROM documents)
+WHERE given IS NOT NULL UNION ALL SELECT doc_id, false FROM documents WHERE doc_id % 5 = 3 OR (doc_id % 5 = 0 AND text IS NULL) OR (doc_id % 5 = 4 AND lang IS NULL)""")
+def evidence_given(spark, d):
+    k = F.col("doc_id") % 5
+    given = F.when(k == 0, F.col("text")).when(k == 1, "").when(k == 2, "\xa0\u2003\x1f").when(k == 3, None).otherwise(F.concat(F.lit("\x0b"), F.col("lang")))
+    return table(spark, d, "documents").select("doc_id", T.evidence_given(given).alias("evidence_given"))

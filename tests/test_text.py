@@ -72,3 +72,10 @@ def test_meta_is_sorted_and_keeps_nulls(spark):
 
 def test_clip_text_keeps_head_and_tail(spark):
     assert one(spark, [("abcdefghij" * 10, 20)], "t string, n int", c=T.clip_text(F.col("t"), F.col("n"), 10))[0].c == ("abcdefghij" * 3)[:22] + ("abcdefghij" * 10)[-22:]
+
+
+def test_meta_escapes_as_json_dumps(spark):
+    texts = ["".join(map(chr, range(1, 0x90))), "\\u001F", "\\\x1f", "\x1f\x1f\x0b", "\\\\u000B\\\x0e", 'a"b', "Hà Nội 😀\u2028", "", "\x7f"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i int, t string")
+    for r in df.select("i", "t", T.json_meta({"b": F.col("t"), "a": F.col("i")}).alias("m")).collect():
+        assert r.m == json.dumps({"a": r.i, "b": r.t}, ensure_ascii=False, sort_keys=True)
