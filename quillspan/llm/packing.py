@@ -12,7 +12,6 @@ from __future__ import annotations
 import itertools
 import json
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -31,12 +30,34 @@ PIECES = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens b
 
 
 def _unstable() -> str:
-    """Letters and digits whose composed lower-case form ends with another kind of character, as İ and क़ do."""
-    return "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
+    """Letters and digits whose composed lower-case form ends with another kind of character, as İ and क़ do; there are none above."""
+    return "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
 
 
-UNSTABLE = _unstable()
-_MARKS = re.compile(rf"[\W_{UNSTABLE}][.,;:!?] ")
+UNSTABLE = frozenset(_unstable())
+MARKS = ".,;:!?"
+
+
+# of the 256 characters of Latin-1: marks, what ends a word, and what a mark may stand behind to be a pre-token of its own
+_IS_MARK, _IS_END, _IS_LETTER = (np.array([test(chr(c)) for c in range(256)]) for test in (MARKS.__contains__, " \n\t\r".__contains__, str.isalnum))
+
+
+def marks_follow_letters(text: str, latin1: bytes | None = None) -> bool:
+    """Whether each closing mark before white space stands behind a letter or digit, so that it is a pre-token of its own.
+
+    ``latin1``: the text in that encoding, if it has one; other texts have only spaces as white space.
+    """
+    if latin1 is not None:
+        c = np.frombuffer(latin1, np.uint8)
+        return not (_IS_MARK[c[1:-1]] & _IS_END[c[2:]] & ~_IS_LETTER[c[:-2]]).any()
+    for mark in MARKS:
+        at = text.find(f"{mark} ", 1)
+        while at > 0:
+            before = text[at - 1]
+            if not before.isalnum() or before in UNSTABLE:
+                return False
+            at = text.find(f"{mark} ", at + 2)
+    return True
 
 
 class WordEncoder:
@@ -88,7 +109,7 @@ class WordEncoder:
         for w in back:
             seen[w] = older[w]
         words = words - back
-        marked = {w for w in words if w[-1] in ".,;:!?" and w[-2:-1].isalpha() and w[-2] not in UNSTABLE}
+        marked = {w for w in words if w[-1] in MARKS and w[-2:-1].isalpha() and w[-2] not in UNSTABLE}
         parts = (words - marked).union((w[:-1] for w in marked), (w[-1] for w in marked)).difference(seen)
         letters = [w for w in parts if w.isalpha()]
         if letters:
@@ -101,11 +122,12 @@ class WordEncoder:
 
     def spaced(self, text: str) -> str:
         """``text`` with single spaces where its words part."""
-        if "<|" not in text and is_latin1(text):
+        latin1 = in_latin1(text)
+        if latin1 is not None and "<|" not in text:
             text = text.lower()
         text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if not _MARKS.search(text):  # every mark before a space follows a letter or digit, and is a pre-token of its own
-            for mark in ".,;:!?":
+        if marks_follow_letters(text, latin1):
+            for mark in MARKS:
                 text = text.replace(f"{mark} ", f" {mark} ")
         return text
 
@@ -133,12 +155,11 @@ class WordEncoder:
         return self.encode([text])[0]
 
 
-def is_latin1(text: str) -> bool:
+def in_latin1(text: str) -> bytes | None:
     try:
-        text.encode("latin-1")
+        return text.encode("latin-1")
     except UnicodeEncodeError:
-        return False
-    return True
+        return None
 
 
 GROUP, GROUP_CHARACTERS = 1024, 4_000_000  # texts that are encoded together, at most
