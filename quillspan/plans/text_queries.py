@@ -182,7 +182,20 @@ def clipped_texts(spark, d):
     return word_counts(spark, d).select("doc_id", T.clip_text(F.col("text"), F.col("n_words"), 256).alias("clipped"))
 
 
-@query(None)
+_N = lambda c: f"CAST(len({SQL_WORDS(c)}) AS BIGINT)"
+_FITTED = f"""WITH RECURSIVE begun AS (
+  SELECT doc_id, text, CASE WHEN len(kept) > 0 THEN list_transform(kept, lambda p: CAST(p[2] AS BIGINT)) ELSE [0::BIGINT] END AS a, CASE WHEN len(kept) > 0 THEN list_transform(kept, lambda p: CAST(p[2] + length(p[1]) AS BIGINT)) ELSE [CAST(length(text) AS BIGINT)] END AS z FROM {_SENTENCES}),
+fit AS (
+  SELECT doc_id, 0 AS turn, text, a, z, false AS cut FROM begun
+  UNION ALL
+  SELECT doc_id, turn + 1, substr(text, 1, a[mid + 1]) || substr(text, z[mid + k] + 1), list_concat(a[1:mid], list_transform(a[mid + k + 1:], lambda x: x - (z[mid + k] - a[mid + 1]))), list_concat(z[1:mid], list_transform(z[mid + k + 1:], lambda x: x - (z[mid + k] - a[mid + 1]))), true FROM (
+    SELECT *, (len(a) - k) // 2 AS mid FROM (SELECT *, least(greatest(1, CAST(ceil(len(a) * (1 - 256::DOUBLE / (37 + n) + 0.05::DOUBLE)) AS BIGINT)), len(a) - 1) AS k FROM (SELECT *, {_N('text')} AS n FROM fit WHERE turn < 6) WHERE n + 37 > 256 AND len(a) > 1))),
+ended AS (SELECT *, {_N('text')} AS n FROM (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY turn DESC) = 1)),
+sized AS (SELECT *, greatest(1, CAST(trunc(length(text) * (256::DOUBLE / n) * 0.45::DOUBLE) AS BIGINT)) AS keep FROM ended)
+SELECT doc_id, CASE WHEN n > 256 THEN substr(text, 1, keep) || right(text, keep) ELSE text END AS text, cut OR n + 37 > 256 AS truncated, CASE WHEN n + 37 > 256 THEN 1 ELSE CAST(len(a) AS INT) END AS n_chunks FROM sized"""
+
+
+@query(_FITTED)
 def fitted_prompts(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("context"), F.lit("").alias("question"), F.lit("").alias("response"), chunking.sentences(F.col("text")).alias("chunks"))
     return chunking.fit_to_budget(rows, 256).select("doc_id", "fitted.text", "fitted.truncated", F.size("fitted.char_start").alias("n_chunks"))

@@ -122,3 +122,16 @@ def test_run_log_stream(spark, tmp_path):
     append_table(stream_runs(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 6 and "metrics__macro_f1" in out.columns
+
+
+def test_guide_explains_every_answer(tmp_path):
+    codes = {"ngoai_lai": "mang điều mới vào", "noi_tai": "dùng sai điều đã có", "khong": "không thêm, không sai", "khong_chac": "không quyết được"}
+    path = sinks.write_guide(tmp_path / "g" / "guide.md", codes, 120, {"A": "sheet_a.csv", "B": "sheet_b.csv"}, report="make report")
+    text = path.read_text(encoding="utf-8")
+    assert all(f"| `{c}` | {m} |" in text for c, m in codes.items()) and all(text.count(f"`{c}`") >= 2 for c in codes)
+    assert "120 dòng" in text and "`sheet_a.csv`" in text and "`nhan_dinh`" in text and "`ghi_chu`" in text and "make report" in text and "{" not in text
+    with pytest.raises(FileExistsError):
+        sinks.write_guide(path, codes, 120)
+    assert "mỗi người" in sinks.audit_guide(codes, 3)
+    with pytest.raises(ValueError):
+        sinks.audit_guide({"a": "b"}, 3)
