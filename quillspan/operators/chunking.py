@@ -60,22 +60,33 @@ def sentences(text: Column) -> Column:
     return cut(text)
 
 
+def merged_spans(text: str, spans: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    heads = [i for i, (a, z) in enumerate(spans) if i == 0 or len(text[a:z].split()) >= min_words]
+    return [(spans[i][0], spans[j - 1][1]) for i, j in zip(heads, [*heads[1:], len(spans)], strict=True)]
+
+
 def merge_short(text: Column, chunks: Column, min_words: int = 5) -> Column:
-    """Chunks with fewer than ``min_words`` words join the chunk before them; the first stays. Spans cover what lies between."""
+    """Chunks with fewer than ``min_words`` words join the chunk before them; the first stays. Spans cover what lies between.
+
+    Only the chunks' spans go to Python, not their texts.
+    """
 
     @F.arrow_udf(CHUNK)
-    def merged(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
-        for t, own in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
-            if t is None or own is None:
-                out.append(None)
-                continue
-            heads = [i for i, c in enumerate(own) if i == 0 or len(c["text"].split()) >= min_words]
-            spans = [(own[i]["char_start"], own[j - 1]["char_end"]) for i, j in zip(heads, [*heads[1:], len(own)], strict=True)]
-            out.append([(t[a:z], a, z, n) for n, (a, z) in enumerate(spans)])
-        return _struct_arrays(out, _CHUNKS)
-
-    return merged(text, chunks)
+    def merged(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True)
+        return _struct_arrays([None if t is None or s is None else [(t[a:z], a, z, n) for n, (a, z) in enumerate(merged_spans(t, list(zip(s, e, strict=True)), min_words))] for t, s, e in rows], _CHUNKS)
+
+    return merged(text, F.transform(chunks, lambda c: c["char_start"]), F.transform(chunks, lambda c: c["char_end"]))
+
+
+def merged_sentences(text: Column, min_words: int = 5) -> Column:
+    """``merge_short`` of ``sentences``, in one pass over the text."""
+
+    @F.arrow_udf(CHUNK)
+    def cut(texts: pa.Array) -> pa.Array:
+        return _struct_arrays([None if t is None else [(t[a:z], a, z, n) for n, (a, z) in enumerate(merged_spans(t, sentence_spans(t), min_words))] for t in texts.to_pylist()], _CHUNKS)
+
+    return cut(text)
 
 
 def token_windows(text: Column, size: int, stride: int | None = None) -> Column:

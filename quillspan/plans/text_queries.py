@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
-from quillspan.operators import chunking, metrics, retrieval, schema, split
+from quillspan.operators import chunking, metrics, retrieval, schema, split, tokens
 from quillspan.plans.registry import query
 from quillspan.plans.views import SQL_CONTEXT_ID, SQL_LABEL, SQL_PAIRS, SQL_SPLIT, SQL_STRIP, SQL_TIER, SQL_TIER_LABEL, SQL_WORDS, WS, label_of, pairs, table, word_counts
 
@@ -129,8 +129,7 @@ def sentence_chunks(spark, d):
 @query(f"""WITH p AS (SELECT *, sum(CASE WHEN idx = 0 OR len({SQL_WORDS('piece')}) >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS g FROM {_PIECES})
 SELECT doc_id, CAST(g AS INT) AS idx, CAST(min(char_start) AS BIGINT) AS char_start, CAST(max(char_start + length(piece)) AS BIGINT) AS char_end, substr(any_value(text), min(char_start) + 1, max(char_start + length(piece)) - min(char_start)) AS text FROM p GROUP BY doc_id, g""")
 def merged_sentences(spark, d):
-    chunks = table(spark, d, "documents").select("doc_id", "text", chunking.sentences(F.col("text")).alias("c"))
-    rows = chunks.select("doc_id", F.explode(chunking.merge_short(F.col("text"), F.col("c"), 5)).alias("c"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(chunking.merged_sentences(F.col("text"), 5)).alias("c"))
     return rows.select("doc_id", F.col("c.index").alias("idx"), "c.text", "c.char_start", "c.char_end")
 
 
@@ -257,3 +256,13 @@ def evidence_given(spark, d):
     k = F.col("doc_id") % 5
     given = F.when(k == 0, F.col("text")).when(k == 1, "").when(k == 2, "\xa0\u2003\x1f").when(k == 3, None).otherwise(F.concat(F.lit("\x0b"), F.col("lang")))
     return table(spark, d, "documents").select("doc_id", T.evidence_given(given).alias("evidence_given"))
+
+
+@query(None)
+def model_prompt_lengths(spark, d):
+    """Prompts of question and answer counted by a model's tokenizer, and their tier."""
+    import public_tokenizers
+
+    n = tokens.prompt_length(F.col("response"), F.col("question"), F.col("response"), public_tokenizers.path("byte_bpe_50k.json"))
+    rows = pairs(spark, d).select("conv_id", "turn", n.alias("n_tokens"))
+    return rows.withColumn("tier", T.tier_of(F.col("n_tokens")))

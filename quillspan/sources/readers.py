@@ -196,8 +196,8 @@ def check_published(df: DataFrame, dataset: str) -> None:
         schema.check_evidence_rate(df, *EVIDENCE_RATE[dataset])
 
 
-def normalise(spark: SparkSession, dataset: str, raw_dir: str, published: bool = False) -> DataFrame:
-    """A corpus in the common schema, validated; with ``published`` it must be the published one to the row."""
+def normalise(spark: SparkSession, dataset: str, raw_dir: str, published: bool = True) -> DataFrame:
+    """A corpus in the common schema, validated; it must be the published one to the row unless ``published`` is false."""
     df = READERS[dataset](spark, raw_dir)
     schema.validate(df)
     if published:

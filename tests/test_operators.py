@@ -5,11 +5,12 @@ import re
 import time
 from datetime import datetime
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import let
-from quillspan.operators import audit, chunking, containment, detector, features, lookback, metrics, quantiles, retrieval, runlog, schema, split, tiers
+from quillspan.operators import audit, chunking, containment, detector, features, lookback, metrics, quantiles, retrieval, runlog, schema, split, tiers, tokens
 
 
 def sample(spark, **changes):
@@ -103,6 +104,29 @@ def test_short_sentences_join_the_one_before(spark):
     got = df.select(chunking.merge_short(F.col("t"), F.col("c")).alias("m")).first().m
     assert [c.text for c in got] == ["Ngắn.", "Câu này có năm từ. Ít từ.", "Một câu khác cũng đủ dài."]
     assert all(text[c.char_start : c.char_end] == c.text for c in got)
+    assert df.select(chunking.merged_sentences(F.col("t")).alias("m")).first().m == got
+
+
+def test_merging_in_one_pass(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "bb", " ", ". ", "! ", "\n", "?  ", "é", "😀"]) for _ in range(rng.randint(0, 80))) for _ in range(80)] + ["", None, " . ", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chunking.sentences(F.col("t")).alias("c"))
+    for n in (1, 2, 4):
+        assert df.select(chunking.merge_short(F.col("t"), F.col("c"), n).alias("a"), chunking.merged_sentences(F.col("t"), n).alias("b")).where("not (a <=> b)").count() == 0
+
+
+def test_model_tokens(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [("Hà Nội là thủ đô. " * 30, "Hỏi gì?", "Đáp"), ("", "", "x"), (None, None, None), ("<|endoftext|>", " ", "😀")]
+    df = spark.createDataFrame(rows, "c string, q string, r string").repartition(2)
+    library = lambda t: len(tokens.tokenizer(path).encode(t or "", add_special_tokens=False).ids)
+    got = df.select("c", "q", "r", tokens.token_count(F.col("c"), path, batch=2).alias("n"), tokens.prompt_length(F.col("c"), F.col("q"), F.col("r"), path).alias("p")).collect()
+    for r in got:
+        parts = [library(t) for t in (r.c, r.q, r.r)]
+        assert (r.n, r.p) == (parts[0], sum(parts) + (41 if parts[1] else 37))
+    chunks = df.where("c like 'Hà%'").select(F.col("c").alias("context"), F.col("q").alias("question"), F.col("r").alias("response"), chunking.sentences(F.col("c")).alias("chunks"))
+    fitted = chunking.fit_to_budget(chunks, 120, count=tokens.token_counter(path)).first().fitted
+    assert fitted.truncated and library(fitted.text) + library("Hỏi gì?") + library("Đáp") + 41 <= 120 and len(fitted.char_start) > 1
 
 
 @pytest.mark.parametrize("n,windows", [(0, []), (3, [(0, 3)]), (4, [(0, 4)]), (5, [(0, 4), (2, 5)]), (8, [(0, 4), (2, 6), (4, 8)])])

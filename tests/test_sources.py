@@ -25,12 +25,12 @@ def test_readers(spark, tmp_path):
     v = readers.read_vihallu(spark, raw).orderBy("sample_id").collect()
     assert [r.sample_id for r in v] == ["vihallu_train_0", "vihallu_train_1"] and v[0].context == "Thủ đô, Hà\nNội" and v[0].response == "NA" and v[1].response == ""
     assert json.loads(v[0].meta)["prompt_type"] == "noisy" and json.loads(v[0].meta)["prompt_has_diacritics"] is False and v[0].evidence_start == -1
-    i = readers.normalise(spark, "isedsc01", raw).orderBy("sample_id").collect()
+    i = readers.normalise(spark, "isedsc01", raw, published=False).orderBy("sample_id").collect()
     assert (i[0].evidence, i[0].evidence_start, i[0].label) == (EVIDENCE, 5, "no") and json.loads(i[0].meta)["source_id"] == "7"
     assert (i[1].evidence, i[1].evidence_start, i[1].label) == ("", -1, "extrinsic") and json.loads(i[1].meta)["evidence_given"] is False
-    w = readers.normalise(spark, "viwikifc", raw)
+    w = readers.normalise(spark, "viwikifc", raw, published=False)
     assert w.count() == 6 and w.select("sample_id").distinct().count() == 6
-    f = readers.normalise(spark, "vifactcheck", raw).collect()
+    f = readers.normalise(spark, "vifactcheck", raw, published=False).collect()
     assert {r.split for r in f} == {"train", "dev", "test"} and f[0].label_original == "2" and json.loads(f[0].meta)["url"] == ""
     assert readers.read_minimal(spark, raw, "vifactcheck").columns == ["context", "question", "response"]
     out = str(tmp_path / "interim")
@@ -45,7 +45,7 @@ def test_published_counts(spark, tmp_path):
     raw = corpora(tmp_path)
     for name in ("isedsc01", "viwikifc", "vifactcheck"):
         with pytest.raises(ValueError, match="unexpected counts"):
-            readers.normalise(spark, name, raw, published=True)
+            readers.normalise(spark, name, raw)
     rows = spark.createDataFrame([(s, lab, 0) for s, labels in readers.PUBLISHED["viwikifc"].items() for lab, n in labels.items() for _ in range(n)], "split string, label string, evidence_start int")
     readers.check_published(rows, "viwikifc")
     with pytest.raises(ValueError, match="without located evidence"):
