@@ -71,7 +71,7 @@ class WordEncoder:
     they are met. Other tokenizers encode whole texts.
     """
 
-    def __init__(self, path: str, most: int = 1_600_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -162,7 +162,7 @@ def in_latin1(text: str) -> bytes | None:
         return None
 
 
-GROUP, GROUP_CHARACTERS = 1024, 4_000_000  # texts that are encoded together, at most
+GROUP, GROUP_CHARACTERS = 1024, 2_000_000  # texts that are encoded together, at most
 
 
 def grouped(texts: pa.Array) -> Iterator[list[str]]:
