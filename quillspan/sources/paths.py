@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from itertools import chain
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 # The file that marks a raw folder, the environment variable, the default and the mounts' patterns.
 MARKER = "vihallu_train.csv"
 ENV = "QUILLSPAN_DATA_DIR"
@@ -35,3 +40,31 @@ def find_raw_dir(explicit: str | Path | None = None, marker: str = MARKER, **whe
     if found is None:
         raise FileNotFoundError(f"no folder {explicit}" if explicit is not None else f"no folder with {marker}; name one by {ENV}")
     return found
+
+
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; it goes when the program ends.
+
+    Where the session names none, a temporary folder serves in local mode; on a cluster that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="quillspan-")
+    path = f"{named}/quillspan-{uuid.uuid4().hex}-{name}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+@atexit.register
+def _drop_scratch() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session has ended; the cluster's own cleaning is left
+            return

@@ -80,7 +80,7 @@ def numbered(df: DataFrame, name: str = "_index") -> DataFrame:
 def read_csv(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
     """All columns text; an empty field is an empty string and ``NA`` stays. Quoted fields may hold line breaks.
 
-    The file is read by byte ranges. Its first line end is that of all its lines; one inside quotes reads as a line feed. ``index`` names a column for the row's number in the file, from 0.
+    The file, or a folder of files with a header each, is read by byte ranges. Its first line end is that of all its lines; one inside quotes reads as a line feed. ``index`` names a column for the row's number, from 0 and in the files' order.
     """
     form = {"quote": '"', "escape": '"', "multiLine": "true"}
     names = spark.read.options(**form, header=True, inferSchema=False).csv(require_file(spark, path)).columns
@@ -88,24 +88,25 @@ def read_csv(spark: SparkSession, path: str, index: str | None = None) -> DataFr
     rows, _ = splits.records(spark, path, splits.CsvLines(end[-1]))
     text = F.col("text") if end == "\n" else F.replace(F.regexp_replace("text", "\\r$", ""), F.lit(end), F.lit("\n"))
     kind = ", ".join(f"_c{i} string" for i in range(len(names)))
-    parsed = rows.select("block", "nth", F.from_csv(text, kind, form).alias("_r"))
-    placed = splits.counted(parsed, F.lit(1), "_place").where("_place > 0")
+    header = splits.first_of_file(F.col("block")) & (F.col("nth") == 0)
+    parsed = rows.where(~header).select("block", "nth", F.from_csv(text, kind, form).alias("_r"))
+    placed = splits.counted(parsed, F.lit(1), "_place") if index else parsed
     fields = [F.coalesce(F.col(f"_r._c{i}"), F.lit("")).alias(c.lstrip("\ufeff")) for i, c in enumerate(names)]
-    return placed.select(*fields, *([(F.col("_place") - 1).alias(index)] if index else []))
+    return placed.select(*fields, *([F.col("_place").alias(index)] if index else []))
 
 
 def read_json_records(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
     """One top-level object of records: ``source_id``, ``_index`` in the file's order, the fields (null where JSON has null).
 
-    The file is read by byte ranges and cut behind each record; what isn't such an object raises.
+    The file, or a folder of them, is read by byte ranges and cut behind each record; what isn't such an object raises.
     """
     kind = T.MapType(T.StringType(), T.StructType([T.StructField(f, T.StringType()) for f in fields]))
-    rows, end = splits.records(spark, require_file(spark, path), splits.JsonEntries())
+    rows, ends = splits.records(spark, require_file(spark, path), splits.JsonEntries())
     wrong = f"{path} is not an object of records"
-    if end is None or end[0] or end[1] > 0:
+    if not ends or any(inside or depth > 0 for inside, depth in ends):
         raise ValueError(wrong)
     # each part is read as an object of its own, without the brace or comma before it
-    first, text = (F.col("block") == 0) & (F.col("nth") == 0), F.col("text")
+    first, text = splits.first_of_file(F.col("block")) & (F.col("nth") == 0), F.col("text")
     good = F.when(first, text.rlike(r"^[\s\uFEFF]*\{(?!\s*,)")).otherwise(text.rlike(r"^\s*(,(?!\s*\})|\}\s*$)") | text.rlike(r"^\s*$"))
     entry = F.concat(F.lit("{"), F.regexp_replace(text, r"^[\s\uFEFF]*[{,]?", ""), F.when(F.col("ended"), "}").otherwise(""))
     read = F.when(~first & text.rlike(r"^\s*$"), F.from_json(F.lit("{}"), kind)).when(good, F.from_json(entry, kind))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,29 @@ def retrieval_corpus(df: DataFrame) -> DataFrame:
     return rows.groupBy("evidence_id", "text").agg(F.min("title").alias("title"), F.min("link").alias("link"))
 
 
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A folder of CSV files with a header each, quoted as ``readers.read_csv`` reads them; blanks at a field's ends stay."""
+    df.write.mode(mode).options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def write_json_records(df: DataFrame, key: str, path: str, mode: str = "errorifexists") -> None:
+    """A folder of files, each a JSON object of its rows by ``key``; an entry a line, nulls kept."""
+    whole = F.to_json(F.create_map(F.col(key).cast("string"), F.struct(*[c for c in df.columns if c != key])), {"ignoreNullFields": "false"})
+    entries = df.select(F.substring(whole, F.lit(2), F.length(whole) - 2).alias("value"))
+
+    def braced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "{"
+        for batch in batches:
+            lines = []
+            for entry in batch.column(0).to_pylist():
+                lines.append(lead + entry)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["{}" if lead == "{" else "}"], pa.string())], ["value"])
+
+    entries.mapInArrow(braced, "value string").write.mode(mode).text(path)
+
+
 def write_sheet(df: DataFrame, path: str | Path, force: bool = False, most_rows: int = 100_000) -> Path:
     """A CSV for a spreadsheet, with a byte-order mark; an existing file stays unless ``force``. For sheets people fill in."""
     path = Path(path)

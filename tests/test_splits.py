@@ -87,7 +87,8 @@ TEXTS = ["plain", "", "br}ace", "{", '"quoted"', "back\\slash", '\\"}', "Hà\nN
 def test_json_records(spark, tmp_path, small_ranges, seed):
     rng = random.Random(seed)
     records = {rng.choice(["", "k}", 'q"', "\\"]) + str(i): {"context": rng.choice(TEXTS), "claim": rng.choice([*TEXTS, None]), "other": {"deep": [{"x": "}"}, {}]}, **({"domain": "d"} if i % 3 else {})} for i in range(40)}
-    path = str(tmp_path / "f.json")
+    (tmp_path / "a b é%").mkdir()
+    path = str(tmp_path / "a b é%" / "f.json")
     text = json.dumps(records, ensure_ascii=bool(seed % 2), indent=None if seed % 3 else 2) + ("\n" if seed % 2 else "")
     with open(path, "w", encoding="utf-8") as f:
         f.write(text)
@@ -114,3 +115,22 @@ def test_json_that_is_no_object_of_records(spark, tmp_path, small_ranges, text):
         small_ranges(size)
         with pytest.raises(Exception, match="not an object"):
             readers.read_json_records(spark, str(tmp_path / "f.json"), ("context",)).collect()
+
+
+def test_folders(spark, tmp_path, small_ranges):
+    """Files of a folder follow one another by name; each has its own header or braces."""
+    small_ranges(40)
+    (tmp_path / "c.csv").mkdir()
+    (tmp_path / "j.json").mkdir()
+    for k, name in enumerate(("part-0", "part-1", "part-2", "_SUCCESS")):
+        rows = [(f"{k}{i}", f'"t\n{i}"') for i in range(6 * (k != 1))]
+        if name[0] != "_":
+            (tmp_path / "c.csv" / name).write_text("id,t\n" + "".join(f"{a},{b}\n" for a, b in rows))
+            (tmp_path / "j.json" / name).write_text(json.dumps({a: {"t": "}" * 30} for a, _ in rows}) + "\n" * (k % 2))
+        else:
+            (tmp_path / "c.csv" / name).write_text("")
+    ids = [f"0{i}" for i in range(6)] + [f"2{i}" for i in range(6)]
+    got = readers.read_csv(spark, str(tmp_path / "c.csv"), "n").orderBy("n").collect()
+    assert [(r.n, r.id) for r in got] == list(enumerate(ids)) and {r.t[:2] for r in got} == {"t\n"}
+    got = readers.read_json_records(spark, str(tmp_path / "j.json"), ("t",)).orderBy("_index").collect()
+    assert [(r._index, r.source_id) for r in got] == list(enumerate(ids)) and {r.t for r in got} == {"}" * 30}
