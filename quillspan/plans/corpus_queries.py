@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.operators import schema
 from quillspan.plans.registry import query
-from quillspan.plans.text_queries import _HAS
+from quillspan.plans.text_queries import _GROUNDED, _HAS, grounded
 from quillspan.plans.views import SQL_CONTEXT_ID, WS, table
 from quillspan.sources import readers, sinks
 from quillspan.sources.paths import scratch
@@ -89,3 +90,25 @@ def corpus_vifactcheck(spark, d):
     for split, file in readers.FILES["vifactcheck"].items():
         rows.where(F.col("split") == split).drop("split").write.parquet(f"{raw}/{file}")
     return readers.read_vifactcheck(spark, raw).select(*_OUT[1:])
+
+
+@query(f"SELECT sample_id, context_id, response, label, evidence_start, evidence_end, meta, dataset, split FROM ({_GROUNDED}) WHERE split = 'train'")
+def stored_corpus(spark, d):
+    """Grounded rows stored by dataset and split, and one split read back."""
+    path = scratch(spark, "interim")
+    sinks.write_corpus(grounded(spark, d), path)
+    return readers.load_dataset(spark, path, "documents", "train").select("sample_id", "context_id", "response", "label", "evidence_start", "evidence_end", "meta", "dataset", "split")
+
+
+@query(f"SELECT DISTINCT substr(sha256(evidence), 1, 16) AS evidence_id, evidence AS text, '' AS title, '' AS link FROM ({_GROUNDED}) WHERE evidence <> ''")
+def evidence_corpus(spark, d):
+    return sinks.retrieval_corpus(grounded(spark, d))
+
+
+_EXPECTED = {("train", "no"): 4, ("train", "extrinsic"): 0, ("dev", "intrinsic"): 1, ("nowhere", "no"): 2}
+
+
+@query(f"""WITH want(split, label, n) AS (VALUES {', '.join(f"('{s}', '{lab}', {n})" for (s, lab), n in _EXPECTED.items())}), have AS (SELECT split, label, count(*) AS n FROM ({_GROUNDED}) GROUP BY ALL)
+SELECT coalesce(w.split, h.split) AS split, coalesce(w.label, h.label) AS label, coalesce(w.n, 0)::BIGINT AS expected, coalesce(h.n, 0)::BIGINT AS found FROM want w FULL JOIN have h ON w.split = h.split AND w.label = h.label WHERE coalesce(w.n, 0) <> coalesce(h.n, 0)""")
+def unexpected_counts(spark, d):
+    return schema.count_differences(grounded(spark, d), _EXPECTED)
