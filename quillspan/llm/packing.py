@@ -296,7 +296,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """Pieces of all documents with their places: ``id_col``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
     ``tokenizer`` is a path every executor has. A null or empty text is the end id alone. Null ids and repeated rows keep
-    their own pieces. An empty table gives no rows; other columns are ignored. The driver sees one count for each of ``capacity / unit`` lengths.
+    their own pieces. Texts of any length are encoded whole and cut into pieces. An empty table gives no rows; other columns are ignored. The driver sees one count for each of ``capacity / unit`` lengths.
     """
     if capacity % unit:
         raise ValueError("capacity must be a multiple of unit")

@@ -463,7 +463,8 @@ def _scan(tagger: Tagger, group: int):
 def find_personal_data(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id", text_col: str = "text", group: int = 500) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, counts of base spans, ``base_sha256``, ``spans``, ``n_added``.
 
-    Null texts count as empty; null ids and repeated rows stay; an empty table gives no rows. One pass without a shuffle.
+    Null texts count as empty; null ids and repeated rows stay; an empty table gives no rows; other columns aren't read. Texts
+    of any length are read whole, in overlapping windows where the tagger runs. One pass without a shuffle.
     """
     tagger = tagger or trained()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

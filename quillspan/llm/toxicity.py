@@ -188,7 +188,7 @@ def toxicity_scores(docs: DataFrame, model: NeighbourVotes, id_col: str = "doc_i
     """One row for each row of ``docs``: ``id_col``, ``score`` (0 to 1), ``predicted``, ``neighbours``, ``evidence``.
 
     Null and empty texts score as documents that share no term with an example; without labels every score is 0. Null ids
-    and repeated rows stay. One pass without a shuffle.
+    and repeated rows stay; texts of any length are scored whole; other columns aren't read. One pass without a shuffle.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(_score(model), "id bigint, score double, neighbours array<bigint>, evidence array<string>")
@@ -196,7 +196,7 @@ def toxicity_scores(docs: DataFrame, model: NeighbourVotes, id_col: str = "doc_i
 
 
 def drop_toxic(docs: DataFrame, model: NeighbourVotes, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Rows of ``docs``, all columns kept, whose score is below ``threshold``."""
+    """Rows of ``docs``, all columns kept, whose score is below ``threshold``; null texts score as empty ones, repeated rows alike."""
 
     @F.pandas_udf("double")
     def score(texts):
