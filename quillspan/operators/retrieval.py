@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from quillspan.functions.text import words
+from quillspan.sources.paths import stored
 
 
 @pandas_udf(T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("score", T.DoubleType())])))
@@ -79,9 +80,9 @@ def bm25(queries: DataFrame, passages: DataFrame, query_id: str, query_text: str
     rounded before ranking so that ties go to the lower passage id on any partitioning. Queries are joined with blocks of
     postings by (term, block) and a block is scored in one row, so pairs of query and passage are never rows but for a block's
     ``k`` best; blocks that can't reach the query's k-th score aren't scored. Passages without a shared term are not
-    returned. Ids are unique.
+    returned. Ids are unique. The index is written once to the shared folder when this is called, since it is read at every step.
     """
-    index, placed = postings(passages, passage_id, passage_text, k1, b, block)
+    index, placed = (stored(x, name) for x, name in zip(postings(passages, passage_id, passage_text, k1, b, block), ("postings", "places"), strict=True))
     asked = queries.select(query_id, F.explode(F.array_distinct(words(F.lower(query_text)))).alias("term"))
     wanted = candidate_blocks(asked, index, query_id, k, digits)
     scores = _block_scores(wanted, asked, index, query_id, k, digits).join(placed, ["block", "place"])

@@ -10,7 +10,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from itertools import chain
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # The file that marks a raw folder, the environment variable, the default and the mounts' patterns.
 MARKER = "vihallu_train.csv"
@@ -60,6 +60,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to a shared folder and read back: what is read often isn't computed often, lost executor or not."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @atexit.register
 def _drop_scratch() -> None:
     for spark, path in _SCRATCH:
