@@ -52,21 +52,26 @@ def exact_percentiles(df: DataFrame, by: list[str], wanted: Mapping[str, tuple[C
     n_shares = len(shares)
     low, high = (lambda j: F.get("_q", F.lit(j))), (lambda j: F.get("_q", F.lit(j + n_shares)))
     x = F.col("_x")
-    outside = [F.struct(F.sum((x < low(j)).cast("bigint")).alias("less"), F.max(F.when(x < low(j), x)).alias("below"), F.min(F.when(x > high(j), x)).alias("above")) for j in range(n_shares)]
-    around = met.groupBy(*by, "_v").agg(F.first("_n").alias("_n"), F.array(*outside).alias("_o"))
-    inside = met.select(*by, "_v", "_x", F.explode(F.array_compact(F.array(*[F.when(asks(j) & (x >= low(j)) & (x <= high(j)), F.lit(j)) for j in range(n_shares)]))).alias("_j"))
-    inside = inside.groupBy(*by, "_v", "_j", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*by, "_v", "_j").orderBy("_x"))
-    inside = join_groups(inside.withColumn("_to", upto), around, [*by, "_v"]).withColumn("_o", F.get("_o", F.col("_j")))
+    # each value's side of each bracket that is asked of it; inside, values stay apart
+    side = lambda j: F.struct(F.lit(j).alias("j"), F.when(x < low(j), -1).when(x > high(j), 1).otherwise(0).alias("side"))
+    tagged = met.select(*by, "_v", "_n", "_x", F.explode(F.array_compact(F.array(*[F.when(asks(j), side(j)) for j in range(n_shares)]))).alias("_t"))
+    tagged = tagged.select(*by, "_v", "_n", F.col("_t.j").alias("_j"), F.col("_t.side").alias("_side"), F.when(F.col("_t.side") == 0, x).alias("_x"), x.alias("_any"))
+    counts = tagged.groupBy(*by, "_v", "_n", "_j", "_side", "_x").agg(F.count(F.lit(1)).alias("_c"), F.max("_any").alias("_most"), F.min("_any").alias("_least"))
+    own = Window.partitionBy(*by, "_v", "_j")
+    where = lambda k, c: F.when(F.col("_side") == k, F.col(c))
+    inside = counts.withColumns({
+        "_less": F.coalesce(F.sum(where(-1, "_c")).over(own), F.lit(0)), "_below": F.max(where(-1, "_most")).over(own), "_above": F.min(where(1, "_least")).over(own),
+        "_to": F.sum(F.coalesce(where(0, "_c"), F.lit(0))).over(own.orderBy("_x")),
+    }).where("_side = 0")
 
     at = F.get(F.array(*map(F.lit, shares)), F.col("_j")) * (F.col("_n") - 1)
     place = {"_lo": F.floor(at), "_hi": F.ceil(at)}
-    pick = lambda k: F.max(F.when((F.col(k) >= F.col("_o.less") + F.col("_to") - F.col("_c")) & (F.col(k) < F.col("_o.less") + F.col("_to")), x)).alias(f"{k}_in")
-    found = inside.withColumns(place).groupBy(*by, "_v", "_j", "_n", "_lo", "_hi").agg(pick("_lo"), pick("_hi"), F.max("_to").alias("_all"), F.first("_o").alias("_o"))
+    pick = lambda k: F.max(F.when((F.col(k) >= F.col("_less") + F.col("_to") - F.col("_c")) & (F.col(k) < F.col("_less") + F.col("_to")), x)).alias(f"{k}_in")
+    found = inside.withColumns(place).groupBy(*by, "_v", "_j", "_n", "_lo", "_hi", "_less", "_below", "_above").agg(pick("_lo"), pick("_hi"), F.max("_to").alias("_all"))
 
     def value(k: str) -> Column:
-        below, after = F.col("_o.less") - 1, F.col("_o.less") + F.col("_all")
-        return F.coalesce(F.col(f"{k}_in"), F.when(F.col(k) == below, F.col("_o.below")).when(F.col(k) == after, F.col("_o.above")), F.raise_error(F.lit("a summary missed its error bound; raise the accuracy")).cast("double"))
+        below, after = F.col("_less") - 1, F.col("_less") + F.col("_all")
+        return F.coalesce(F.col(f"{k}_in"), F.when(F.col(k) == below, F.col("_below")).when(F.col(k) == after, F.col("_above")), F.raise_error(F.lit("a summary missed its error bound; raise the accuracy")).cast("double"))
 
     step = F.get(F.array(*map(F.lit, shares)), F.col("_j")) * (F.col("_n") - 1) - F.col("_lo")
     solved = found.select(*by, "_v", "_j", (value("_lo") + (value("_hi") - value("_lo")) * step).alias("_y"))
