@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from quillspan.functions.text import let
 from quillspan.operators.quantiles import exact_percentiles, join_groups
 
 EPS = 1e-9
@@ -20,23 +21,31 @@ EPS = 1e-9
 
 def token_span(offsets: Column, start: Column, end: Column) -> Column:
     """Positions of tokens (array of structs ``token_start``, ``token_end``) that overlap [start, end); empty tokens never do."""
-    hit = F.transform(offsets, lambda o, i: F.when((o["token_end"] > o["token_start"]) & (o["token_start"] < end) & (o["token_end"] > start), i.cast("int")))
-    return F.filter(hit, lambda i: i.isNotNull())
+    spot = lambda s: F.transform(offsets, lambda o, i: F.when(_overlaps(o, s["a"], s["z"]), i.cast("int")))
+    return F.filter(let(F.struct(start.alias("a"), end.alias("z")), spot), lambda i: i.isNotNull())
+
+
+def _overlaps(token: Column, start: Column, end: Column) -> Column:
+    return (token["token_end"] > token["token_start"]) & (token["token_start"] < end) & (token["token_end"] > start)
 
 
 def layout(offsets: Column, context: tuple[Column, Column], response: tuple[Column, Column], chunks: Column) -> Column:
     """Struct of roles: ``context``, ``prompt`` (all before the response), ``response``, ``queries`` (response less its first), ``chunk_tokens``.
 
     ``chunks``: array of structs ``char_start``, ``char_end`` in the same text as the offsets. Raises without a context token
-    and with fewer than two response tokens. Chunks keep context tokens only.
+    and with fewer than two response tokens. Chunks keep context tokens only. Offsets and roles are bound once each.
     """
-    ctx, resp = token_span(offsets, *context), token_span(offsets, *response)
-    ctx = F.when(F.size(ctx) > 0, ctx).otherwise(F.raise_error(F.lit("no context token")).cast("array<int>"))
-    resp = F.when(F.size(resp) > 1, resp).otherwise(F.raise_error(F.lit("fewer than two response tokens")).cast("array<int>"))
-    first = F.get(resp, F.lit(0))
-    prompt = F.when(first > 0, F.sequence(F.lit(0), first - 1)).otherwise(F.array().cast("array<int>"))
-    inside = F.transform(chunks, lambda c: F.array_intersect(token_span(offsets, c["char_start"], c["char_end"]), ctx))
-    return F.struct(ctx.alias("context"), prompt.alias("prompt"), resp.alias("response"), F.slice(resp, 2, F.greatest(F.size(resp) - 1, F.lit(0))).alias("queries"), inside.alias("chunk_tokens"))
+    none = lambda why: F.raise_error(F.lit(why)).cast("array<int>")
+    in_context = lambda o: let(token_span(o, *context), lambda t: F.when(F.size(t) > 0, t).otherwise(none("no context token")))
+    in_response = lambda o: let(token_span(o, *response), lambda t: F.when(F.size(t) > 1, t).otherwise(none("fewer than two response tokens")))
+
+    def roles(o: Column, ctx: Column, resp: Column) -> Column:
+        first = F.get(resp, F.lit(0))
+        prompt = F.when(first > 0, F.sequence(F.lit(0), first - 1)).otherwise(F.array().cast("array<int>"))
+        inside = F.transform(chunks, lambda c: F.filter(ctx, lambda i: _overlaps(F.get(o, i), c["char_start"], c["char_end"])))
+        return F.struct(ctx.alias("context"), prompt.alias("prompt"), resp.alias("response"), F.slice(resp, 2, F.greatest(F.size(resp) - 1, F.lit(0))).alias("queries"), inside.alias("chunk_tokens"))
+
+    return let(offsets, lambda o: let(in_context(o), lambda ctx: let(in_response(o), lambda resp: roles(o, ctx, resp))))
 
 
 def _sum_at(weights: Column, positions: Column) -> Column:

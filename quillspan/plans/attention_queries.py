@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.functions import text as T
 from quillspan.operators import features, lookback, metrics, retrieval
 from quillspan.plans.registry import query
 from quillspan.plans.views import SQL_ATTENTION, SQL_PAIRS, SQL_RATIOS, SQL_SHARES, attention, pairs, roles, table
@@ -157,7 +158,7 @@ def token_layout(spark, d):
     rows = pairs(spark, d).where((F.length("question") > 1) & (F.length("response") > 11))
     lq, n = F.length("question"), F.length("question") + F.length("response") + 1
     starts = F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int"))
-    offsets = F.transform(starts, lambda i: F.struct((i * 4).alias("token_start"), F.least(i * 4 + 4, n).alias("token_end")))
+    offsets = T.let(n, lambda n: F.transform(starts, lambda i: F.struct((i * 4).alias("token_start"), F.least(i * 4 + 4, n).alias("token_end"))))  # a length is a pass over the text
     half = F.floor(lq / 2).cast("int")
     chunk = lambda a, b: F.struct(a.alias("char_start"), b.alias("char_end"))
     roles = lookback.layout(offsets, (F.lit(0), lq), (lq + 1, n), F.array(chunk(F.lit(0), half), chunk(half, lq)))

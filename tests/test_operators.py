@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import let
 from quillspan.operators import audit, chunking, containment, detector, features, lookback, metrics, quantiles, retrieval, runlog, schema, split, tiers, tokens
+from quillspan.plans import attention_queries
 
 
 def sample(spark, **changes):
@@ -144,6 +145,14 @@ def test_drop_middle(spark, n, kept):
     assert len(r.chunks) == kept and all(r.text[c.char_start : c.char_end] == c.text for c in r.chunks) and [c["index"] for c in r.chunks] == list(range(kept))
 
 
+def test_fit_to_budget_cuts_sentences_in_the_same_pass(spark):
+    texts = ["", "one. two.", *[". ".join(f"s{i} {'w ' * (i % 9)}x" for i in range(n)) for n in range(5, 400, 13)], "w " * 500]
+    df = spark.createDataFrame([(t,) for t in texts], "context string").select("context", F.lit("").alias("question"), F.lit("").alias("response"), chunking.sentences(F.col("context")).alias("chunks"))
+    apart, inside = chunking.fit_to_budget(df, 120), chunking.fit_to_budget(df, 120, chunks=None)
+    assert [r.fitted for r in apart.collect()] == [r.fitted for r in inside.collect()]
+    assert inside.select("fitted")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_fit_to_budget(spark):
     text = " ".join(f"Câu số {i} có vài từ." for i in range(60))
     df = spark.createDataFrame([(text, "", "r"), ("ngắn", "", "r"), ("x " * 500, "", "r")], "context string, question string, response string").withColumn("chunks", chunking.sentences(F.col("context")))
@@ -226,6 +235,14 @@ def test_layout_needs_context_and_two_response_tokens(spark):
             make(*bad)
 
 
+def test_layout_of_long_texts_is_linear(spark, tmp_path):
+    n = 200_000
+    spark.createDataFrame([(1, 1, "user", "q" * n), (1, 2, "assistant", "r" * n)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    began = time.time()
+    got = attention_queries.token_layout(spark, str(tmp_path)).first()
+    assert time.time() - began < 30 and (got.n_context, got.n_prompt, got.first_response, got.n_queries, got.chunk_1, got.chunk_2) == (50_000, 50_000, 50_000, 50_000, 25_000, 25_000)
+
+
 def test_chunk_features(spark):
     df = spark.createDataFrame([([0.25] * 4,), ([1.0, 0.0, 0.0, 0.0],), ([0.0] * 4,)], "s array<double>")
     even, one, none = (r.f for r in df.select(features.chunk_features(F.col("s")).alias("f")).collect())
