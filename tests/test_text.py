@@ -2,6 +2,7 @@ import hashlib
 import json
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,20 @@ def test_meta_escapes_as_json_dumps(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i int, t string")
     for r in df.select("i", "t", T.json_meta({"b": F.col("t"), "a": F.col("i")}).alias("m")).collect():
         assert r.m == json.dumps({"a": r.i, "b": r.t}, ensure_ascii=False, sort_keys=True)
+
+
+def test_composition_sends_only_what_may_change_to_python(spark):
+    """Every letter behind and before another: Python's composition, whether or not the text was sent there."""
+    texts = [f"e{chr(c)}́ {chr(c)}" for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000] + ["각", "각", "plain", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.n for r in df.select(T.nfc(F.col("t")).alias("n")).collect()] == [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    known = set(T.uncomposed_letters())
+    safe = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and chr(c) not in known]
+    assert all(unicodedata.is_normalized("NFC", f"e{c}{d}") for c, d in zip(safe, safe[1:])) and {"ế", "Đ", "漢"} <= set(safe)
+    assert df.where(T.composed(F.when(F.col("t").rlike(T._uncomposed()), F.col("t"))).isNotNull() & F.col("t").isin("plain", "")).count() == 0
+
+
+def test_batches_become_python_objects_in_slices():
+    sizes = []
+    got = T.in_slices(lambda own: sizes.append(len(own)) or own, pa.string(), pa.array([str(i) for i in range(1000)]))
+    assert got.to_pylist() == [str(i) for i in range(1000)] and max(sizes) <= T.SLICE and len(T.in_slices(None, pa.string(), pa.array([], pa.string()))) == 0
