@@ -6,11 +6,12 @@ import math
 import re
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.text import in_slices
+
 CHUNK = "array<struct<text:string,char_start:bigint,char_end:bigint,index:int>>"
 
 WINDOW = "array<struct<token_start:bigint,token_end:bigint,text:string,char_start:bigint,char_end:bigint>>"
@@ -35,6 +36,8 @@ def _struct_arrays(rows: list[list[tuple] | None], kind: pa.ListType) -> pa.Arra
 _CHUNKS = pa.list_(pa.struct([("text", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("index", pa.int32())]))
 _WINDOWS = pa.list_(pa.struct([("token_start", pa.int64()), ("token_end", pa.int64()), ("text", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64())]))
 
+_FITTED = pa.struct([("text", pa.string()), ("char_start", pa.list_(pa.int64())), ("char_end", pa.list_(pa.int64())), ("truncated", pa.bool_())])
+
 
 def _numbered(chunks: Column) -> Column:
     return F.transform(chunks, lambda c, i: F.struct(c["text"].alias("text"), c["char_start"].alias("char_start"), c["char_end"].alias("char_end"), i.cast("int").alias("index"))).cast(CHUNK)
@@ -55,7 +58,7 @@ def sentences(text: Column) -> Column:
 
     @F.arrow_udf(CHUNK)
     def cut(texts: pa.Array) -> pa.Array:
-        return _struct_arrays([None if t is None else [(t[a:z], a, z, i) for i, (a, z) in enumerate(sentence_spans(t))] for t in texts.to_pylist()], _CHUNKS)
+        return in_slices(lambda own: _struct_arrays([None if t is None else [(t[a:z], a, z, i) for i, (a, z) in enumerate(sentence_spans(t))] for t in own.to_pylist()], _CHUNKS), _CHUNKS, texts)
 
     return cut(text)
 
@@ -71,11 +74,14 @@ def merge_short(text: Column, chunks: Column, min_words: int = 5) -> Column:
     Only the chunks' spans go to Python, not their texts.
     """
 
-    @F.arrow_udf(CHUNK)
-    def merged(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    def of(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         rows = zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True)
         return _struct_arrays([None if t is None or s is None else [(t[a:z], a, z, n) for n, (a, z) in enumerate(merged_spans(t, list(zip(s, e, strict=True)), min_words))] for t, s, e in rows], _CHUNKS)
 
+    @F.arrow_udf(CHUNK)
+    def merged(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return in_slices(of, _CHUNKS, texts, starts, ends)
+
     return merged(text, F.transform(chunks, lambda c: c["char_start"]), F.transform(chunks, lambda c: c["char_end"]))
 
 
@@ -84,7 +90,7 @@ def merged_sentences(text: Column, min_words: int = 5) -> Column:
 
     @F.arrow_udf(CHUNK)
     def cut(texts: pa.Array) -> pa.Array:
-        return _struct_arrays([None if t is None else [(t[a:z], a, z, n) for n, (a, z) in enumerate(merged_spans(t, sentence_spans(t), min_words))] for t in texts.to_pylist()], _CHUNKS)
+        return in_slices(lambda own: _struct_arrays([None if t is None else [(t[a:z], a, z, n) for n, (a, z) in enumerate(merged_spans(t, sentence_spans(t), min_words))] for t in own.to_pylist()], _CHUNKS), _CHUNKS, texts)
 
     return cut(text)
 
@@ -106,7 +112,7 @@ def token_windows(text: Column, size: int, stride: int | None = None) -> Column:
 
     @F.arrow_udf(WINDOW)
     def cut(texts: pa.Array) -> pa.Array:
-        return _struct_arrays([None if t is None else windows(t) for t in texts.to_pylist()], _WINDOWS)
+        return in_slices(lambda own: _struct_arrays([None if t is None else windows(t) for t in own.to_pylist()], _WINDOWS), _WINDOWS, texts)
 
     return cut(text)
 
@@ -141,36 +147,46 @@ def count_words(text: str) -> int:
     return len(text.split())
 
 
-def fit_to_budget(df: DataFrame, budget: int, context: str = "context", question: str = "question", response: str = "response", chunks: str = "chunks", overhead: int = 37, overhead_asked: int = 41, count: Callable[[str], int] = count_words, rounds: int = 6) -> DataFrame:
+def fit_to_budget(df: DataFrame, budget: int, context: str = "context", question: str = "question", response: str = "response", chunks: str | None = "chunks", overhead: int = 37, overhead_asked: int = 41, count: Callable[[str], int] = count_words, rounds: int = 6) -> DataFrame:
     """Adds ``fitted`` (text, spans, truncated): middle chunks are dropped, up to ``rounds`` times, until the prompt's tokens fit.
 
     Each round drops ``ceil(chunks * (excess + 0.05))`` chunks, one at least; what still doesn't fit is clipped to its head
     and tail. ``count`` gives the tokens of a text; a prompt costs its three texts and an overhead. The loop depends on the
-    counter, so it runs in Arrow batches.
+    counter, so it runs in Arrow batches. Without ``chunks`` they are the context's ``sentences``, cut in the same pass.
     """
-    kind = "struct<text:string,char_start:array<bigint>,char_end:array<bigint>,truncated:boolean>"
-
-    @F.pandas_udf(kind)
-    def fitted(contexts: pd.Series, questions: pd.Series, responses: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, asked, answer, s, e in zip(contexts, questions, responses, starts, ends):
-            text, spans, cut = text or "", list(zip(s, e)), False
-            fixed = count(answer or "") + (overhead_asked + count(asked) if (asked or "").strip() else overhead)
-            for _ in range(rounds):
-                total = fixed + count(text)
-                if total <= budget or len(spans) <= 1:
-                    break
-                drop = min(max(1, math.ceil(len(spans) * (1 - budget / total + 0.05))), len(spans) - 1)
-                text, spans = without_middle(text, spans, drop)
-                cut = True
-            if fixed + count(text) > budget and (own := count(text)) > budget:
-                keep = max(1, int(len(text) * (budget / own) * 0.45))
-                text, cut = text[:keep] + text[-keep:], True
-                spans = [(0, len(text))]
-            elif fixed + count(text) > budget:
-                spans, cut = [(0, len(text))], True
-            out.append((text, [x for x, _ in spans], [y for _, y in spans], cut))
-        return pd.DataFrame(out, columns=["text", "char_start", "char_end", "truncated"])
 
+    def fit(text: str | None, asked: str | None, answer: str | None, spans: list[tuple[int, int]]) -> tuple[str, list[int], list[int], bool]:
+        text, cut = text or "", False
+        fixed = count(answer or "") + (overhead_asked + count(asked) if (asked or "").strip() else overhead)
+        for _ in range(rounds):
+            total = fixed + count(text)
+            if total <= budget or len(spans) <= 1:
+                break
+            drop = min(max(1, math.ceil(len(spans) * (1 - budget / total + 0.05))), len(spans) - 1)
+            text, spans = without_middle(text, spans, drop)
+            cut = True
+        if fixed + count(text) > budget and (own := count(text)) > budget:
+            keep = max(1, int(len(text) * (budget / own) * 0.45))
+            text, cut = text[:keep] + text[-keep:], True
+            spans = [(0, len(text))]
+        elif fixed + count(text) > budget:
+            spans, cut = [(0, len(text))], True
+        return text, [x for x, _ in spans], [y for _, y in spans], cut
+
+    def of(contexts: pa.Array, questions: pa.Array, responses: pa.Array, *ends: pa.Array) -> pa.Array:
+        texts = contexts.to_pylist()
+        spans = [list(zip(s, e, strict=True)) for s, e in zip(*[x.to_pylist() for x in ends], strict=True)] if ends else [sentence_spans(t or "") for t in texts]
+        found = list(zip(*map(fit, texts, questions.to_pylist(), responses.to_pylist(), spans), strict=True))
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(found, _FITTED, strict=True)], fields=list(_FITTED))
+
+    @F.arrow_udf("struct<text:string,char_start:array<bigint>,char_end:array<bigint>,truncated:boolean>")
+    def fitted(contexts: pa.Array, questions: pa.Array, responses: pa.Array) -> pa.Array:
+        return in_slices(of, _FITTED, contexts, questions, responses)
+
+    @F.arrow_udf("struct<text:string,char_start:array<bigint>,char_end:array<bigint>,truncated:boolean>")
+    def fitted_chunks(contexts: pa.Array, questions: pa.Array, responses: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return in_slices(of, _FITTED, contexts, questions, responses, starts, ends)
+
+    texts = [F.col(context), F.col(question), F.col(response)]
     at = lambda field: F.transform(F.col(chunks), lambda c: c[field])
-    return df.withColumn("fitted", fitted(F.col(context), F.col(question), F.col(response), at("char_start"), at("char_end")))
+    return df.withColumn("fitted", fitted_chunks(*texts, at("char_start"), at("char_end")) if chunks else fitted(*texts))

@@ -196,8 +196,8 @@ SELECT doc_id, CASE WHEN n > 256 THEN substr(text, 1, keep) || right(text, keep)
 
 @query(_FITTED)
 def fitted_prompts(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("context"), F.lit("").alias("question"), F.lit("").alias("response"), chunking.sentences(F.col("text")).alias("chunks"))
-    return chunking.fit_to_budget(rows, 256).select("doc_id", "fitted.text", "fitted.truncated", F.size("fitted.char_start").alias("n_chunks"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("context"), F.lit("").alias("question"), F.lit("").alias("response"))
+    return chunking.fit_to_budget(rows, 256, chunks=None).select("doc_id", "fitted.text", "fitted.truncated", F.size("fitted.char_start").alias("n_chunks"))
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN 0.0 ELSE round(len(list_filter(r, lambda x: list_contains(q, x))) / len(r)::DOUBLE, 6) END AS lexical_overlap, CAST(len(r) AS BIGINT) AS response_words
