@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.text import SLICE
+
 
 def write_corpus(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One folder for each dataset and split."""
@@ -40,11 +42,12 @@ def write_json_records(df: DataFrame, key: str, path: str, mode: str = "errorife
     def braced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = "{"
         for batch in batches:
-            lines = []
-            for entry in batch.column(0).to_pylist():
-                lines.append(lead + entry)
-                lead = ","
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+            for i in range(0, len(batch), SLICE):
+                lines = []
+                for entry in batch.column(0).slice(i, SLICE).to_pylist():
+                    lines.append(lead + entry)
+                    lead = ","
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
         yield pa.RecordBatch.from_arrays([pa.array(["{}" if lead == "{" else "}"], pa.string())], ["value"])
 
     entries.mapInArrow(braced, "value string").write.mode(mode).text(path)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions.text import SLICE
+
 # what a reader knows between two pieces: inside a quoted text or not, and how many brackets are open
 State = tuple[bool, int]
 _DIGITS = 20  # of a block's first byte in its name, so that names sort as bytes do
@@ -137,6 +139,9 @@ def _cut(machine, starts, open_ends: frozenset[str]):
                         out.append((block, nth, kind, True, record))
                         nth += 1
                     held, kind = [], 0
+                    if len(out) == SLICE:
+                        yield _rows(out)
+                        out = []
             yield _rows(out)
             out = []
         close()

@@ -3,11 +3,12 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.sources import readers
+from quillspan.sources import readers, splits
 
 
 @pytest.fixture
@@ -133,3 +134,12 @@ def test_folders(spark, tmp_path, small_ranges):
     assert [(r.n, r.id) for r in got] == list(enumerate(ids)) and {r.t[:2] for r in got} == {"t\n"}
     got = readers.read_json_records(spark, str(tmp_path / "j.json"), ("t",)).orderBy("_index").collect()
     assert [(r._index, r.source_id) for r in got] == list(enumerate(ids)) and {r.t for r in got} == {"}" * 30}
+
+
+def test_records_leave_a_task_in_small_batches():
+    class Starts:
+        value = {"b": splits.Start((False, 0), False)}
+
+    lines = pa.RecordBatch.from_arrays([pa.array(["b"] * 3000), pa.array([f"r{i}" for i in range(3000)])], ["block", "value"])
+    got = list(splits._cut(splits.CsvLines(), Starts, frozenset())([lines]))
+    assert [t for b in got for t in b.column("text").to_pylist()] == [f"r{i}" for i in range(3000)] and max(map(len, got)) <= 256
