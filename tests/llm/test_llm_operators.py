@@ -378,6 +378,20 @@ def test_lines_of_tables_with_clashing_names(spark):
     assert out.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in out.collect()) == [("1", ""), ("2", ""), ("None", "x"), ("None", "x")] or sorted((str(r.doc_id), r.text) for r in out.collect()) == [("1", "one two three four five"), ("2", ""), ("None", "x"), ("None", "x")]
 
 
+def test_all_pairs_of_a_key_are_compared_or_linked(spark):
+    """Forty nodes of one key and a pair of another length class: the first pairs leave most out, the rest have them all."""
+    shared = spark.createDataFrame([(1, k, 100) for k in range(40)] + [(2, 50, 10), (2, 51, 100)], "key bigint, k bigint, n_chars int")
+    none = spark.createDataFrame([], "node bigint, root bigint")
+    first = fuzzy_lines.candidate_pairs(shared, 0.8)
+    pairs = lambda df: {(r.a, r.b) for r in df.collect()}
+    everything = {(a, b) for a in range(40) for b in range(a + 1, 40)}
+    assert pairs(first) < everything
+    assert pairs(first) | pairs(fuzzy_lines.rest_pairs(shared, none, first, 0.8)) == everything
+    linked = spark.createDataFrame([(k, 0) for k in range(1, 30)], "node bigint, root bigint")
+    left = pairs(fuzzy_lines.rest_pairs(shared, linked, first, 0.8))
+    assert left == {(a, b) for a, b in everything if b >= 30} - pairs(first)
+
+
 def test_bounds_never_overstate_the_similarity(spark):
     rng = random.Random(6)
     rows = []
