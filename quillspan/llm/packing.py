@@ -176,19 +176,19 @@ def grouped(texts: pa.Array) -> Iterator[list[str]]:
     yield group
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most: int = 800_000) -> WordEncoder:
     """Kept while the Python worker lives, so that later tasks find their words known."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = WordEncoder(path, most)
+    return _ENCODERS[path, most]
 
 
-def _pieces(path: str, capacity: int, unit: int, end_id: int):
+def _pieces(path: str, capacity: int, unit: int, end_id: int, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pid, end = encoder(path).encode, TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
+        encode, pid, end = encoder(path, remembered).encode, TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
         nth = np.zeros(capacity // unit + 2, np.int64)
         for rows in batches:
             out: list[list] = [[] for _ in range(8)]
@@ -292,16 +292,17 @@ def placements(found: list[tuple[np.ndarray, int]], demand: np.ndarray) -> pd.Da
     return pd.DataFrame(rows, columns=["kind", "first", "each", "sequence"]).sort_values(["kind", "first"], ignore_index=True)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, unit: int = 8, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, unit: int = 8, end_id: int = 1, remembered: int = 800_000) -> DataFrame:
     """Pieces of all documents with their places: ``id_col``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
     ``tokenizer`` is a path every executor has. A null or empty text is the end id alone. Null ids and repeated rows keep
     their own pieces. Texts of any length are encoded whole and cut into pieces. An empty table gives no rows; other columns are ignored. The driver sees one count for each of ``capacity / unit`` lengths.
+    A worker remembers the ids of ``remembered`` words: more take memory, fewer time, and the ids are the same.
     """
     if capacity % unit:
         raise ValueError("capacity must be a multiple of unit")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pieces = staged(rows.mapInArrow(_pieces(tokenizer, capacity, unit, end_id), PIECES), "pieces")
+    pieces = staged(rows.mapInArrow(_pieces(tokenizer, capacity, unit, end_id, remembered), PIECES), "pieces")
     parts = pieces.groupBy("kind", "pid").agg(F.count(F.lit(1)).alias("n"))
     demand = np.zeros(capacity // unit + 1, np.int64)
     for r in parts.groupBy("kind").agg(F.sum("n").alias("n")).collect():
