@@ -1,6 +1,7 @@
 """Every training-data operator against a brute-force version on small tables, with the awkward cases."""
 
 import itertools
+import math
 import random
 import re
 import time
@@ -247,6 +248,21 @@ def test_quality_counts(parts):
     assert quality.statistics(text)[:5] == plain_statistics(text)
 
 
+def test_quality_fits_on_all_labelled_rows(spark):
+    """Far more labelled rows than a class's old limit of 2000: every one counts, in any order, and the quantile is that of all."""
+    rows = [(i, False, [float((i * 7919 + f * 31) % 1009) for f in range(6)]) for i in range(6000)] + [(6000, False, [1e6] * 6), (6001, True, [2e6] * 6)]
+    stats = spark.createDataFrame(rows, "id bigint, base_failed boolean, features array<double>")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(6000)] + [(6000, 1), (6001, 1), (None, 1)], "doc_id bigint, quality int")
+    forest, threshold = quality.fit(stats, labels, 0.99)
+    again, same = quality.fit(stats.repartition(5), labels, 0.99)
+    assert forest.size == 5401 and (forest.trees == again.trees).all() and threshold == same
+    scores = {v: forest.score(np.array([r[2] for r in rows[:6001] if (r[0] == 6000 or r[0] % 10 > 0) == v])) for v in (True, False)}
+    least = np.quantile(scores[True], 0.99)
+    above = scores[False][scores[False] > least]
+    assert math.isclose(threshold, (least + above.min()) / 2 if len(above) else least, rel_tol=1e-12)
+    assert scores[True].argmax() == len(scores[True]) - 1
+
+
 def test_quality_verdicts(spark, table):
     rng = random.Random(1)
     good, bad = [prose(rng, 60) + "." for _ in range(60)], ["### ".join(prose(rng, 60).split()) for _ in range(20)]
