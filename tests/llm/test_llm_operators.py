@@ -408,6 +408,28 @@ def test_all_pairs_of_a_key_are_compared_or_linked(spark):
     assert left == {(a, b) for a, b in everything if b >= 30} - pairs(first)
 
 
+def test_lines_that_share_only_a_passage_do_not_meet(spark, table, monkeypatch):
+    """A hundred and sixty long lines hold one passage, and forty of them are twins of others with changed words: found without comparing all 12,000 pairs."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 10)))
+    passage = [word() for _ in range(14)]
+    texts, twins = [], set()
+    for i in range(120):
+        own, at = [word() for _ in range(rng.randrange(22, 34))], rng.randrange(20)
+        texts.append(" ".join(own[:at] + passage + own[at:]))
+        if i % 3 == 0:
+            for j in rng.sample(range(len(own)), 3):
+                own[j] = word()
+            twins.add((len(texts), 0))
+            texts.append(" ".join(own[:at] + passage + own[at:]))
+    few = [" ".join([word() for _ in range(i % 3)] + passage + [word() for _ in range(i % 2)]) for i in range(20)]
+    counts, staged = {}, fuzzy_lines.staged
+    monkeypatch.setattr(fuzzy_lines, "staged", lambda df, name: (out := staged(df, name), counts.update({name: out.count()}))[0])
+    got = {(r.id, r.pos) for r in fuzzy_lines.line_verdicts(table(texts + few)).collect()}
+    assert got == twins | plain_lines([(len(texts) + i, t) for i, t in enumerate(few)])
+    assert counts["crowd-words"] > 0 and counts["rest-pairs"] < 10 * len(texts)
+
+
 def test_bounds_never_overstate_the_similarity(spark):
     rng = random.Random(6)
     rows = []
