@@ -430,6 +430,20 @@ def test_lines_that_share_only_a_passage_do_not_meet(spark, table, monkeypatch):
     assert counts["crowd-words"] > 0 and counts["rest-pairs"] < 10 * len(texts)
 
 
+def test_pairs_of_a_crowded_key_are_all_told(spark):
+    """A hundred and fifty nodes of one key and forty pairs of twins among them: exactly the twins leave a row."""
+    rng = random.Random(43)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(5, 9)))
+    norms = [[word() for _ in range(20 if i % 2 else 90)] for i in range(150)]
+    for i in range(40):
+        norms[2 * i + 70] = [*norms[i][:3], word(), *norms[i][4:]]
+    rows = [(k, " ".join(w)) for k, w in enumerate(norms)]
+    texts = spark.createDataFrame(rows, "k bigint, norm string")
+    nodes = spark.createDataFrame([(1, k, len(t), k, k > 0) for k, t in rows], "key bigint, k bigint, n_chars int, root bigint, outside boolean")
+    got = {(r.a, r.b) for r in fuzzy_lines.chunk_links(fuzzy_lines.crowd_chunks(nodes, texts, 0.8), 0.8).collect()}
+    assert got == {(i, 2 * i + 70) for i in range(40)}
+
+
 def test_bounds_never_overstate_the_similarity(spark):
     rng = random.Random(6)
     rows = []
